@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kvlake.llm import decontaminate, line_dedup
+from kvlake.llm import decontaminate, kd_sharding, line_dedup, quality
 
 
 def _read(spark, sf_dir, table, *columns):
@@ -24,9 +24,22 @@ def op9_line_dedup(spark, sf_dir):
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op5_quality_rules(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+    return quality.judge(docs, keep=["doc_id"]).select("doc_id", *quality.BASE, "kept", "distance2")
+
+
+def op10_kd_sharding(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+    out = kd_sharding.shard(docs, ["doc_id", "lang", "source"], n_shards=8)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES = {
+    "op5_quality_rules": op5_quality_rules,
     "op7_decontamination": op7_decontamination,
     "op9_line_dedup": op9_line_dedup,
+    "op10_kd_sharding": op10_kd_sharding,
 }
 
 ORACLE_SQL = {
