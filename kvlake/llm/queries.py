@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kvlake.llm import decontaminate, kd_sharding, line_dedup, ngram_join, quality
+from kvlake.llm import chat, decontaminate, kd_sharding, line_dedup, ngram_join, pii, quality, sentencepiece
 
 
 def _read(spark, sf_dir, table, *columns):
@@ -28,11 +28,33 @@ def op1_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.near_duplicates(_read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+PII_KEY = "kvlake-demo-key"  # a deployment gives its own secret
+
+
+def op3_pii_pseudonyms(spark, sf_dir):
+    return pii.pseudonymise(_read(spark, sf_dir, "documents", "doc_id", "text"), PII_KEY)
+
+
+def op4_chat_formatting(spark, sf_dir):
+    rows = _read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    events = chat.messages_to_events(rows.unionByName(extra))
+    return chat.digest(chat.format_turns(chat.reconstruct(events)))
+
+
 def op5_quality_rules(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
     return quality.judge(docs, keep=["doc_id"]).select("doc_id", *quality.BASE, "kept", "distance2")
 
 
+def op8_sentencepiece(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text")
+    out = sentencepiece.encode(docs, sentencepiece.read_model())
+    ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
+    return out.select("doc_id", "n_tokens", "n_byte_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "roundtrip", "parity")
+
+
 def op10_kd_sharding(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
     out = kd_sharding.shard(docs, ["doc_id", "lang", "source"], n_shards=8)
@@ -41,8 +63,11 @@ def op10_kd_sharding(spark, sf_dir):
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op3_pii_pseudonyms": op3_pii_pseudonyms,
+    "op4_chat_formatting": op4_chat_formatting,
     "op5_quality_rules": op5_quality_rules,
     "op7_decontamination": op7_decontamination,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_line_dedup": op9_line_dedup,
     "op10_kd_sharding": op10_kd_sharding,
 }
@@ -63,6 +88,17 @@ reach(doc_id, r) AS (
   SELECT x, x FROM edges UNION SELECT e.y, reach.r FROM reach JOIN edges e ON e.x = reach.doc_id)
 SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, coalesce(m.r, d.doc_id) AS component_id
 FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN (SELECT doc_id, min(r) AS r FROM reach GROUP BY doc_id) m USING (doc_id)
+""",
+    "op4_chat_formatting": r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+  CAST(sum(length(regexp_replace(role, '[\\<#]', 'xx', 'g')) + length(regexp_replace(text, '[\\<#]', 'xx', 'g')) + 21) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id
 """,
     "op7_decontamination": r"""
 WITH item_words AS (
