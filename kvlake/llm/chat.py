@@ -2,13 +2,14 @@
 
 A log holds events of conversations: ``start`` opens a message with its role,
 ``delta`` appends streamed text, ``edit`` replaces a message's text so far, and
-``regenerate`` throws a message's text away to stream it again.  Events are dealt by conversation, sorted by (turn,
-sequence) on disk where need be, and folded in one streaming pass that holds a
-message at a time.  Messages are then rendered with a template.
+``regenerate`` throws a message's text away to stream it again.  Events are dealt
+by conversation and message, sorted by sequence (on disk where need be) and
+folded in one streaming pass that holds a message at a time.  Messages are then
+rendered with a template.
 
 The template marks each turn with ``<turn>``, ``### Role:`` and ``</turn>``.
 Texts and roles are escaped so that none of these can arise inside: a backslash
-goes before every backslash, ``<`` and ``#``.  ``parse`` undoes it.
+goes before every backslash, ``<`` and ``#`` (and ``:`` in roles).  ``parse`` undoes it.
 
 Defined results: a null text is empty; a null role is an empty role.  Events of
 one (conversation, turn) with equal sequence are taken in order of kind and
@@ -25,13 +26,15 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 START, DELTA, EDIT, REGENERATE = "start", "delta", "edit", "regenerate"
 EVENTS = "conv_id long, turn long, seq long, kind string, role string, text string"
 OPEN, CLOSE, HEAD = "<turn>\n", "</turn>\n", "### "
 _SPECIAL = re.compile(r"([\\<#])")
-_ESCAPED = re.compile(r"\\([\\<#])")
-_TURN = re.compile(r"<turn>\n### ((?:[^\\:<#]|\\[\\<#]|:(?! ))*): ((?:[^\\<#]|\\[\\<#])*)</turn>\n")
+_COLON = "\\:"
+_ESCAPED = re.compile(r"\\([\\<#:])")
+_TURN = re.compile(r"<turn>\n### ((?:[^\\:<#]|\\[\\<#:])*+): ((?:[^\\<#]|\\[\\<#])*+)</turn>\n")
 
 
 def escape(text: str) -> str:
@@ -43,8 +46,8 @@ def unescape(text: str) -> str:
 
 
 def render(role: str, text: str) -> str:
-    """One turn.  Roles are escaped like texts; ': ' ends the role."""
-    return f"{OPEN}{HEAD}{escape(role).replace(': ', ': ')}: {escape(text)}{CLOSE}"
+    """One turn.  The first bare colon ends the role, so a role's own are escaped too."""
+    return f"{OPEN}{HEAD}{escape(role).replace(':', _COLON)}: {escape(text)}{CLOSE}"
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
@@ -156,7 +159,7 @@ def format_turns(messages: DataFrame) -> DataFrame:
             out = [render(r or "", x or "") for r, x in zip(roles, texts)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "formatted"])
 
-    schema = messages.schema.add("formatted", "string")
+    schema = T.StructType([*messages.schema.fields, T.StructField("formatted", T.StringType())])
     return messages.mapInArrow(render_all, schema)
 
 

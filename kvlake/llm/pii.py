@@ -10,8 +10,8 @@ kind         found and validated as                      permuted within
 ===========  ==========================================  =====================
 card         13 to 19 digits; check digit kept valid     all digits but the last
              if it was
-phone        optional +, 10 to 15 digits with ( ) - . /  all digits after a
-             or single spaces between                    country code
+phone        10 digits, or + and up to 15, in groups     all digits after a
+             with ( ) - . or single spaces between       country code
 ip           four numbers of at most 255                 all addresses
 date         year-month-day or day/month/year that is    a block of 73,000 days
              a day of the calendar
@@ -37,12 +37,16 @@ from kvlake.llm.common import without
 
 ROUNDS = 6
 ADDED = ("n_cards", "n_phones", "n_ips", "n_dates", "n_secrets", "n_emails")
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+EMAIL = r"[\p{L}0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 SECRET = r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])"
 IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9/-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/-])"
 CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])"
-PHONE = r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,4}(?![0-9A-Za-z])"
+_NEXT = r"(?![0-9]{4}-[0-9]{2}-|[0-9]{2}/)"  # a date that follows is no part of a phone number
+PHONE = (
+    r"(?<![0-9A-Za-z+])(?:(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])"
+    rf"|\+[0-9]{{1,3}}[ .-]?(?:\([0-9]{{1,4}}\)[ .-]?)?[0-9]{{2,4}}(?:[ .-]?{_NEXT}[0-9]{{2,4}}){{1,4}}(?![0-9A-Za-z]))"
+)
 FOUND = "|".join([EMAIL, SECRET, IP, DATE, CARD, PHONE])
 EPOCH_BLOCK = 73_000  # days: 365 x 200
 
@@ -53,24 +57,7 @@ def _round(key: str, kind: str, i: int, half: Column, modulus: Column) -> Column
     return F.conv(F.substring(h, 1, 15), 16, 10).cast("long") % modulus
 
 
-def feistel(a: Column, b: Column, ma: Column, mb: Column, key: str, kind: str) -> tuple[Column, Column]:
-    """A permutation of pairs (a below ma, b below mb): alternate halves are moved
-    by a hash of the other half."""
-    for i in range(ROUNDS):
-        if i % 2 == 0:
-            a = (a + _round(key, kind, i, b.cast("string"), ma)) % ma
-        else:
-            b = (b + _round(key, kind, i, a.cast("string"), mb)) % mb
-    return a, b
-
-
-def _bind(value: Column, names: list[str], values, then):
-    """Evaluate columns once and use them by name: a fold over one struct."""
-    packed = F.array(F.struct(*[v.alias(n) for n, v in zip(names, values)]))
-    return F.element_at(F.transform(packed, then), 1)
-
-
-def permute_digits(digits: Column, key: str, kind: str, skip: int | Column = 0) -> Column:
+def permute_digits(digits: Column, key: str, kind: str) -> Column:
     """Digit strings of 2 to 18 digits, permuted among those of equal length."""
     n = F.length(digits)
     h = F.floor(n / 2).cast("int")
@@ -83,7 +70,7 @@ def permute_digits(digits: Column, key: str, kind: str, skip: int | Column = 0)
         F.array(F.struct(F.substring(digits, F.lit(1), h).cast("long").alias("a"), F.substring(digits, h + 1, n).cast("long").alias("b"), h.alias("h"), n.alias("n"))), split
     )
     for i in range(ROUNDS):  # one struct per round, so that no round is evaluated twice
-        state = F.transform(state, lambda s, i=i: _step(s, i, key, kind))
+        state = F.transform(state, _stepper(i, key, kind))
     out = F.transform(state, lambda s: F.concat(F.lpad(s["a"].cast("string"), s["h"], F.lit("0")), F.lpad(s["b"].cast("string"), s["n"] - s["h"], F.lit("0"))))
     return F.element_at(out, 1)
 
@@ -97,11 +84,15 @@ def _step(s: Column, i: int, key: str, kind: str) -> Column:
     return F.struct(a.alias("a"), b.alias("b"), s["ma"].alias("ma"), s["mb"].alias("mb"), s["h"].alias("h"), s["n"].alias("n"))
 
 
+def _stepper(i: int, key: str, kind: str):
+    return lambda s: _step(s, i, key, kind)
+
+
 def _pair(a: Column, b: Column, ma: int, mb: int, key: str, kind: str) -> Column:
     """Struct (a, b) after the rounds."""
     state = F.array(F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"), F.lit(ma).cast("long").alias("ma"), F.lit(mb).cast("long").alias("mb"), F.lit(0).alias("h"), F.lit(0).alias("n")))
     for i in range(ROUNDS):
-        state = F.transform(state, lambda s, i=i: _step(s, i, key, kind))
+        state = F.transform(state, _stepper(i, key, kind))
     return F.element_at(state, 1)
 
 
@@ -161,7 +152,7 @@ def date(value: Column, key: str) -> Column:
     """A day of the same block of 73,000 days, in the same notation."""
     days = F.datediff(_as_date(value), F.lit("1900-01-01").cast("date"))
     state = F.transform(
-        F.array(F.struct(F.floor(days / EPOCH_BLOCK).alias("k"), F.pmod(days, F.lit(EPOCH_BLOCK)).alias("d"), value.alias("v"))),
+        F.array(F.struct(F.floor(days / EPOCH_BLOCK).cast("int").alias("k"), F.pmod(days, F.lit(EPOCH_BLOCK)).alias("d"), value.alias("v"))),
         lambda s: F.struct(_pair(s["d"] % 365, F.floor(s["d"] / 365), 365, 200, key, "date").alias("p"), s["k"].alias("k"), s["v"].alias("v")),
     )
     moved = F.transform(
@@ -183,7 +174,7 @@ def _shift(chars: Column, by: Column, alphabets: list[str]) -> Column:
         step = F.conv(F.substring(by, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
         out = c
         for a in alphabets:
-            place = F.locate(c, F.lit(a)) if False else F.instr(F.lit(a), c)
+            place = F.instr(F.lit(a), c)
             out = F.when(place > 0, F.substring(F.lit(a), (place - 1 + step) % len(a) + 1, F.lit(1))).otherwise(out)
         return out
 
@@ -195,9 +186,9 @@ def permute_text(value: Column, key: str, kind: str, alphabets: list[str]) -> Co
     within their alphabets by a keyed stream of the other half."""
     h = F.floor(F.length(value) / 2).cast("int")
     state = F.array(F.struct(F.substring(value, F.lit(1), h).alias("a"), F.substring(value, h + 1, F.length(value)).alias("b")))
-    for i in range(4):
 
-        def turn(s, i=i):
+    def turn(i):
+        def moved(s):
             a, b = s["a"], s["b"]
             if i % 2 == 0:
                 b = _shift(b, _keystream(a, kind, key, i), alphabets)
@@ -205,11 +196,15 @@ def permute_text(value: Column, key: str, kind: str, alphabets: list[str]) -> Co
                 a = _shift(a, _keystream(b, kind, key, i), alphabets)
             return F.struct(a.alias("a"), b.alias("b"))
 
-        state = F.transform(state, turn)
+        return moved
+
+    for i in range(4):
+        state = F.transform(state, turn(i))
     return F.element_at(F.transform(state, lambda s: F.concat(s["a"], s["b"])), 1)
 
 
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+ACCENTED = "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ"
 
 
 def _kind(m: Column) -> Column:
@@ -235,11 +230,15 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
         .when(kind == "ip", ip(m, key))
         .when(kind == "date", date(m, key))
         .when(kind == "secret", permute_text(m, key, "secret", ["0123456789abcdef", "ABCDEF"]))
-        .when(kind == "email", F.concat(permute_text(local, key, "email", [LOWER, UPPER, DIGITS]), F.lit("@"), domain))
+        .when(kind == "email", F.concat(permute_text(local, key, "email", [LOWER, UPPER, DIGITS, *ACCENTED]), F.lit("@"), domain))
         .otherwise(m)
     )
 
 
+def _is(kind: str):
+    return lambda s: s["k"] == kind
+
+
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with pseudonyms in the text, and a count of each kind replaced.
 
@@ -255,5 +254,5 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     new = F.transform("_k", lambda s: pseudonym(s["m"], s["k"], key))
     cut = cut.select("*", F.when(F.size("_m") > 0, new).alias("_n"))
     joined = F.array_join(F.flatten(F.zip_with("_p", F.concat("_n", F.array(F.lit(""))), lambda p, n: F.array(p, n))), "")
-    kinds = [F.coalesce(F.size(F.filter("_k", lambda s, k=k: s["k"] == k)), F.lit(0)) for k in ("card", "phone", "ip", "date", "secret", "email")]
+    kinds = [F.coalesce(F.size(F.filter("_k", _is(k))), F.lit(0)) for k in ("card", "phone", "ip", "date", "secret", "email")]
     return cut.select(*[f"`{c}`" for c in names], F.coalesce(F.when(F.size("_m") > 0, joined), text).alias(text_col), *[F.greatest(c, F.lit(0)).cast("long").alias(n) for n, c in zip(ADDED, kinds)])

@@ -97,7 +97,7 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
-  CAST(sum(length(regexp_replace(role, '[\\<#]', 'xx', 'g')) + length(regexp_replace(text, '[\\<#]', 'xx', 'g')) + 21) AS BIGINT) AS formatted_chars
+  CAST(sum(length(regexp_replace(role, '[\\<#:]', 'xx', 'g')) + length(regexp_replace(text, '[\\<#]', 'xx', 'g')) + 21) AS BIGINT) AS formatted_chars
 FROM turns GROUP BY conv_id
 """,
     "op7_decontamination": r"""

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import struct
 from dataclasses import dataclass, field
 from functools import partial
@@ -35,6 +36,7 @@ from kvlake.llm.common import without
 
 MARK = "▁"
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
+_PART = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 ADDED = ("ids", "n_tokens", "n_byte_tokens", "decoded", "roundtrip", "parity")
 
 # Fixed values of the model format: piece types and model types.
@@ -171,19 +173,7 @@ class Tokenizer:
 
     def cut(self, marked: str) -> list[str]:
         """Parts that no piece spans: each starts with a run of markers."""
-        if not self.cuts:
-            return [marked] if marked else []
-        out, run = [], ""
-        for word in marked.split(MARK):
-            # every split point is one marker; empty words are parts of a run
-            if word:
-                out.append(run + word)
-                run = MARK
-            else:
-                run += MARK
-        if run[:-1] if out else run[1:]:
-            out.append(run[:-1] if not marked.endswith(MARK) else (run[:-1] if out and not run == MARK else run[:-1]))
-        return [x for x in out if x]
+        return _PART.findall(marked) if self.cuts else [marked] if marked else []
 
     def encode_many(self, parts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.backend.encode_batch(parts, add_special_tokens=False)]
