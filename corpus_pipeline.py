@@ -1,6 +1,64 @@
-STAGES = []
+"""A corpus pipeline of five stages over ``documents``.
+
+Each stage takes (spark, docs, sf_dir), with docs the rows that its predecessor
+kept, and returns a DataFrame; ``run`` writes each as Parquet in the shared
+folder and reads it again.  All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kvlake.llm import decontaminate, line_dedup, ngram_join, quality, sentencepiece
+from kvlake.llm.common import store
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rule or the outlier test rejects go."""
+    return quality.judge(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines stay in the first document only; texts and n_chars change."""
+    out = line_dedup.drop_repeated_lines(docs.select(*COLUMNS))
+    return out.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("long")).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: that of the smallest id."""
+    return ngram_join.keep_one(docs.select(*COLUMNS)).select(*COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contaminated documents go; from the others, benchmark spans are cut."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    out = decontaminate.remove_contamination(docs.select(*COLUMNS), benchmark)
+    return out.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("long")).select(*COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, with what decoding them gives back."""
+    out = sentencepiece.encode(docs.select("doc_id", "text"), sentencepiece.read_model(), decode=False)
+    return out.select("doc_id", "ids", "n_tokens", "n_byte_tokens", "roundtrip", "parity")
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup_stage),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("SentencePiece encoding and decoding", tokens),
+]
+
+#: The robust outlier estimate and the tokenizer have no SQL form.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        docs = store(stage(spark, docs, sf_dir))
+    return docs

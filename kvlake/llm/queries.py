@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kvlake.llm import chat, decontaminate, kd_sharding, line_dedup, ngram_join, pii, quality, sentencepiece
+from kvlake.llm import chat, decontaminate, kd_sharding, line_dedup, ngram_join, pii, quality, sentencepiece, toxicity
 
 
 def _read(spark, sf_dir, table, *columns):
@@ -48,6 +48,15 @@ def op5_quality_rules(spark, sf_dir):
     return quality.judge(docs, keep=["doc_id"]).select("doc_id", *quality.BASE, "kept", "distance2")
 
 
+def op6_toxicity(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text")
+    model = toxicity.fit(docs, _read(spark, sf_dir, "labels", "doc_id", "toxic"))
+    out = toxicity.score(docs, model)
+    return out.select(
+        "doc_id", (toxicity.fold(F.col("doc_id")) == toxicity.HELD_OUT).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "toxic_spans"
+    )
+
+
 def op8_sentencepiece(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents", "doc_id", "text")
     out = sentencepiece.encode(docs, sentencepiece.read_model())
@@ -66,6 +75,7 @@ QUERIES = {
     "op3_pii_pseudonyms": op3_pii_pseudonyms,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_quality_rules": op5_quality_rules,
+    "op6_toxicity": op6_toxicity,
     "op7_decontamination": op7_decontamination,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_line_dedup": op9_line_dedup,
