@@ -2,9 +2,9 @@
 
 *Labelled tokens.*  Labels are by document.  A word of a toxic document is
 labelled toxic if it is much likelier in toxic documents than in others (by a
-smoothed log odds ratio over the training documents); all other words are not.
-Word counts over the training documents are a Spark aggregate; the words kept
-as features are the ``max_words`` with the largest odds, both ways.
+smoothed log odds ratio over the documents counted); all other words are not.
+Word counts are a Spark aggregate over at most ``max_counted`` labelled documents;
+the words kept as features are the ``max_words`` with the largest odds, both ways.
 
 *Model.*  Two states (clean, toxic), a weight for each feature word and state,
 for the words before and after it, and for each transition.  It is trained by
@@ -35,8 +35,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kvlake.llm import bytesops as B
-from kvlake.llm.common import without
+from kvlake.llm.common import store, without
 
+MAX_COUNTED = 8_000
 MAX_TRAIN = 3_000
 MAX_WORDS = 2_000
 MIN_ODDS = 2.0
@@ -170,16 +171,16 @@ def _chain(model: Model, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return p, moves
 
 
-def fit_chain(docs: list[tuple[list[str], int]], odds: dict[str, float], toxic_words: set[str], rounds: int = 30, penalty: float = 1e-3, rate: float = 0.3) -> Model:
-    """Train on (words, label) of labelled documents."""
+def fit_chain(docs: list[tuple[str | None, int]], odds: dict[str, float], toxic_words: set[str], rounds: int = 30, penalty: float = 1e-3, rate: float = 0.3) -> Model:
+    """Train on (text, label) of labelled documents."""
     known = {w: i for i, w in enumerate(odds)}
     k = len(known)
     model = Model(known, np.zeros((k + 1, 2)), np.zeros((k + 1, 2)), np.zeros((2, 2)), (0.0, 0.0, 0.0))
     names = [*known, ""]
     is_toxic = np.array([w in toxic_words for w in names])
     data: dict[tuple, int] = {}
-    for ws, label in docs:
-        for ids in _stretches(ws, known):
+    for text, label in docs:
+        for ids in _stretches(word_list(text), known):
             key = (label, *ids.tolist())
             data[key] = data.get(key, 0) + 1
     total = max(1, sum(data.values()))
@@ -206,18 +207,20 @@ def fit_chain(docs: list[tuple[list[str], int]], odds: dict[str, float], toxic_w
     return model
 
 
-def fit_curve(model: Model, docs: list[tuple[list[str], int]], steps: int = 500) -> Model:
+def fit_curve(model: Model, docs: list[tuple[str | None, int]], weights: tuple[float, float] = (1.0, 1.0), steps: int = 500) -> Model:
     """Logistic curve from expected toxic words to the document's label."""
     x, y = [], []
-    for ws, label in docs:
+    for text, label in docs:
+        ws = word_list(text)
         expected = tag(model, ws)[1]
         x.append([min(expected, 3.0), min(20 * expected / max(len(ws), 1), 1.0), 1.0])
         y.append(label)
     x, y, w = np.array(x), np.array(y, float), np.zeros(3)
+    v = np.where(y > 0, weights[1], weights[0])
     for _ in range(steps):  # Newton's method with a small ridge
         p = 1 / (1 + np.exp(-x @ w))
-        g = x.T @ (y - p) - 1e-2 * w
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(3)
+        g = x.T @ (v * (y - p)) - 1e-2 * w
+        h = (x * (v * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(3)
         move = np.linalg.solve(h, g)
         w += move
         if np.abs(move).max() < 1e-9:
@@ -236,29 +239,40 @@ def tag(model: Model, words: list[str]) -> tuple[list[tuple[int, float]], float]
     return list(zip(at, p.tolist())), float((p * p).sum())
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN, max_words: int = MAX_WORDS) -> Model:
-    """Train on labelled rows outside the held-out fold.
+def fit(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_counted: int = MAX_COUNTED, max_train: int = MAX_TRAIN, max_words: int = MAX_WORDS
+) -> Model:
+    """Train on a bounded sample of labelled rows outside the held-out fold.
 
-    Word counts cover all of them; the chain sees ``max_train``, toxic ones first
-    up to half, chosen by a hash of the id.
+    Of each label at most ``max_counted / 2`` documents are read, the first by a
+    hash of the id; the chain sees the first ``max_train / 2`` of each.  The
+    curve weighs the labels by their shares among all labelled rows.
     """
-    rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id is not null and toxic is not null").where(fold(F.col("id")) != HELD_OUT).distinct()
-    train = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(rows, "id")
-    counts = train.select("text", "toxic").mapInArrow(_document_words, "word string, toxic int").groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
+    rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)").where(fold(F.col("id")) != HELD_OUT).distinct()
     size = rows.agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
     n_toxic, n_all = size["t"] or 0, size["n"]
     if not n_toxic or n_toxic == n_all:
         return Model({}, np.zeros((1, 2)), np.zeros((1, 2)), np.zeros((2, 2)), (0.0, 0.0, -50.0))
-    share = F.ln((F.col("t") + 0.5) / (n_toxic + 1.0)) - F.ln((F.col("n") - F.col("t") + 0.5) / (n_all - n_toxic + 1.0))
-    weighed = counts.where("t >= 3 or n - t >= 3").withColumn("odds", share).withColumn("gain", F.col("odds") * F.sqrt(F.col("t")))
+    place = F.crc32(F.concat(F.lit("train"), F.col("id").cast("string")).cast("binary"))
+    first = [rows.where(f"toxic = {y}").withColumn("place", place).orderBy("place", "id").limit(max_counted // 2) for y in (0, 1)]
+    ids = F.broadcast(first[0].unionByName(first[1]))  # at most max_counted rows
+    train = store(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(ids, "id"))
+    seen = train.agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
+    s_toxic, s_clean = seen["t"] or 0, seen["n"] - (seen["t"] or 0)
+    counts = train.select("text", "toxic").mapInArrow(_document_words, "word string, toxic int").groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
+    share = F.ln((F.col("t") + 0.5) / (s_toxic + 1.0)) - F.ln((F.col("n") - F.col("t") + 0.5) / (s_clean + 1.0))
+    weighed = store(counts.where("t >= 3 or n - t >= 3").withColumn("odds", share).withColumn("gain", F.col("odds") * F.sqrt(F.col("t"))))
     best = weighed.where(F.col("odds") >= MIN_ODDS).orderBy(F.col("gain").desc(), "word").limit(max_words // 2).collect()
-    worst = weighed.where((F.col("odds") < 0) & (F.col("n") < F.lit(0.2 * n_all))).orderBy("odds", "word").limit(min(200, max_words // 2)).collect()
+    worst = weighed.where((F.col("odds") < 0) & (F.col("n") < F.lit(0.2 * (s_toxic + s_clean)))).orderBy("odds", "word").limit(min(200, max_words // 2)).collect()
     odds = {r["word"]: r["odds"] for r in [*best, *worst]}
-    pick = train.orderBy(F.col("toxic").desc(), F.crc32(F.concat(F.lit("t"), F.col("id").cast("string")).cast("binary"))).limit(max_train // 2)
-    rest = train.where("toxic = 0").orderBy(F.crc32(F.concat(F.lit("c"), F.col("id").cast("string")).cast("binary"))).limit(max_train - max_train // 2)
-    sample = {r["id"]: (word_list(r["text"]), r["toxic"]) for part in (pick, rest) for r in part.select("id", "text", "toxic").toLocalIterator()}
-    cases = [sample[k] for k in sorted(sample)]
-    return fit_curve(fit_chain(cases, odds, {r["word"] for r in best}), cases)
+    cases = [
+        (r["text"], r["toxic"])
+        for y in (0, 1)
+        for r in train.where(f"toxic = {y}").orderBy("place", "id", "text").limit(max_train // 2).select("text", "toxic").toLocalIterator()
+    ]
+    used = sum(y for _, y in cases)
+    weights = ((1 - n_toxic / n_all) * len(cases) / max(1, len(cases) - used), n_toxic / n_all * len(cases) / max(1, used))
+    return fit_curve(fit_chain(cases, odds, {r["word"] for r in best}), cases, weights)
 
 
 def _score(batches, sent, text_at, schema):
