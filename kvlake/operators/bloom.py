@@ -14,6 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kvlake.options import Corruption
 
@@ -140,7 +141,7 @@ def probe(filters: DataFrame, keys: DataFrame, buckets: int) -> DataFrame:
     return asked.join(filters.select("bucket", "filter"), "bucket", "left").select("key", F.coalesce(_test("filter", "key"), F.lit(False)).alias("may_contain"))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _test(filters: pd.Series, keys: pd.Series) -> pd.Series:
     out = pd.Series(False, index=keys.index)
     for blob, at in filters.groupby(filters).groups.items():
