@@ -49,6 +49,17 @@ def chunks(column: pa.Array, size: int = CHUNK_BYTES):
         at = end
 
 
+def pieces(batch: pa.RecordBatch, column: int, size: int = 8 * CHUNK_BYTES):
+    """Cut a batch into runs of whole rows of about ``size`` bytes of text."""
+    _, offs = text_buffers(batch.column(column))
+    n, at = batch.num_rows, 0
+    while at < n:
+        end = int(np.searchsorted(offs, offs[at] + size, side="right")) - 1
+        end = min(max(end, at + 1), n)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64: spreads every input bit over the output."""
     h = h ^ (h >> _U(30))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kvlake.llm import chat, decontaminate, kd_sharding, line_dedup, ngram_join, pii, quality, sentencepiece, toxicity
+from kvlake.llm import chat, decontaminate, kd_sharding, line_dedup, ngram_join, pii, quality, sentencepiece, suffix_dedup, toxicity
 
 
 def _read(spark, sf_dir, table, *columns):
@@ -28,6 +28,11 @@ def op1_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.near_duplicates(_read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op2_suffix_array_dedup(spark, sf_dir):
+    out = suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 PII_KEY = "kvlake-demo-key"  # a deployment gives its own secret
 
 
@@ -72,6 +77,7 @@ def op10_kd_sharding(spark, sf_dir):
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_pii_pseudonyms": op3_pii_pseudonyms,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_quality_rules": op5_quality_rules,
