@@ -257,6 +257,8 @@ def _unmarked(cuts: list[str], tok: Tokenizer) -> list[str]:
 def _parity(cut: str, ids: list[int], theirs: list[int], tok: Tokenizer) -> bool:
     if not cut.startswith(MARK) and tok.model.add_dummy_prefix:
         return True  # not reachable with a dummy prefix
+    if cut == MARK:  # the library can't be given this part alone
+        return [tok.model.pieces[i][0] for i in ids] == [MARK]
     return ids == theirs
 
 

@@ -1,0 +1,147 @@
+"""Operators on single texts: quality, PII, chat, tokens, toxicity."""
+
+import hashlib
+import os
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from kvlake.llm import chat, pii, quality, sentencepiece, toxicity
+
+
+def test_quality_base_counts(spark):
+    ts = ["a b c d e f g h " * 5, "x\n \nx\ny\x0b#$|", None, "", "één twee\tdrie\r\nvier", "a b c d e f g h i a b c d e f g h z"]
+    got = {r["doc_id"]: r for r in quality.base_counts(spark.createDataFrame(list(enumerate(ts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(ts):
+        t = t or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        c = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        cover = {j for k in range(len(w) - 7) if c[tuple(w[k : k + 8])] > 1 for j in range(k, k + 8)}
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        r = got[i]
+        assert (r["n_words"], r["word_chars"], r["n_dup_lines"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), len(lines) - len(set(lines)), len(cover))
+        assert r["n_symbols"] == len(re.findall(r"[#*$%&|<>]", t)) and r["base_failed"] == (len(w) < 20 or 100 * len(cover) > 30 * len(w))
+
+
+def test_quality_estimate_matches_numpy(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(600, 4)) * [1, 0.5, 0.3, 0.2]
+    x[:60] += 25
+    rows = spark.createDataFrame([("g", *map(float, v)) for v in x], "g string, x0 double, x1 double, x2 double, x3 double")
+    m = quality.fit(rows, floors=(0.1, 0.1, 0.1, 0.1)).first()
+    mean, l = np.array([m[f"m{i}"] for i in range(4)]), np.zeros((4, 4))
+    for i in range(4):
+        for j in range(i + 1):
+            l[i, j] = m[f"l{i}{j}"]
+    d = (np.linalg.solve(l, (x - mean).T) ** 2).sum(axis=0)
+    assert (d[:60] > 100).all() and (d[60:] < 40).all() and np.abs(mean).max() < 0.2
+
+
+def test_quality_rejects_outliers_and_keeps_clean(spark):
+    rng = random.Random(2)
+    clean = [" ".join(rng.choice(["some", "plain", "words", "here", "and", "there", str(i)]) for _ in range(rng.randrange(60, 120))) for i in range(300)]
+    junk = [" ".join(w + "###$$$" for w in clean[i].split()) for i in range(10)]
+    df = spark.createDataFrame([(i, t, "en", "s", "kept") for i, t in enumerate(clean + junk + [None])], "doc_id long, text string, lang string, source string, kept string")
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(df).collect()}
+    assert all(got[i] for i in range(300)) and not any(got[i] for i in range(300, 311))
+    assert quality.judge(df.limit(0)).count() == 0
+
+
+def test_pii_keeps_formats_and_links(spark):
+    t = "card 4111111111111111, again 4111 1111 1111 1111; tel +1 (017) 555-7713 2024-02-29 ip 10.1.255.3 bad 999.1.1.1 2023-02-29 a.b9@x.org v4.0 in 2020 " + "0" * 8 + "ab" * 16
+    df = spark.createDataFrame([(1, t), (2, "4111111111111111"), (3, None), (4, ""), (5, "31/12/1999")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymise(df, "k").collect()}
+    assert got[3] is None and got[4] == ""
+    for clear in ("4111", "555-7713", "2024-02-29", "10.1.255.3", "a.b9@", "abababab"):
+        assert clear not in got[1]
+    for stays in ("999.1.1.1", "2023-02-29", "@x.org", "v4.0 in 2020", "+1 ("):
+        assert stays in got[1]
+    assert got[2] in got[1] and re.sub(r"\d", "9", got[2]) == "9" * 16
+    total = sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(got[2])))
+    assert total % 10 == 0 and re.fullmatch(r"\d\d/\d\d/\d{4}", got[5])
+
+
+def test_pii_is_a_permutation(spark):
+    ids = spark.range(2000).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("d"))
+    out = [r["p"] for r in ids.where("length(d) = 4").select(pii.permute_digits(F.col("d"), "k", "t").alias("p")).collect()]
+    assert len(set(out)) == 2000 and all(len(p) == 4 for p in out)
+    days = spark.range(3000).select(F.date_format(F.date_add(F.lit("1990-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("d"))
+    assert len({r["p"] for r in days.select(pii.date(F.col("d"), "k").alias("p")).collect()}) == 3000
+
+
+def test_chat_round_trip(spark):
+    rows = [(1, 0, "system", "# <a> \\ </turn>"), (1, 1, "user", None), (1, 2, "assistant", "ok: é\n### x"), (2, 0, "a: b", ""), (2, 0, "a: b", ""), (None, 5, None, "t")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    msgs = chat.reconstruct(chat.messages_to_events(df))
+    turns = chat.format_turns(msgs).orderBy("turn", "role").collect()
+    for r in turns:
+        assert chat.parse(r["formatted"]) == [(r["role"], r["text"])]
+    got = {r["conv_id"]: r for r in chat.digest(chat.format_turns(msgs)).collect()}
+    said = "".join(f"{r or ''}\n{t or ''}\n" for c, _, r, t in rows if c == 1)
+    assert got[1]["turns_sha256"] == hashlib.sha256(said.encode()).hexdigest() and got[1]["loss_chars"] == len("ok: é\n### x")
+    assert got[None]["n_turns"] == 1
+
+
+def test_chat_edits_and_regenerations(spark):
+    events = [(1, 0, 0, "start", "user", None), (1, 0, 1, "delta", None, "he"), (1, 0, 2, "delta", None, "llo"), (1, 0, 9, "edit", None, "bye"), (1, 1, 3, "start", "assistant", None), (1, 1, 4, "delta", None, "bad"), (1, 1, 5, "regenerate", None, None), (1, 1, 6, "delta", None, "good")]
+    rng = random.Random(0)
+    rng.shuffle(events)
+    out = chat.reconstruct(spark.createDataFrame(events, chat.EVENTS)).orderBy("turn").collect()
+    assert [(r["role"], r["text"]) for r in out] == [("user", "bye"), ("assistant", "good")]
+
+
+needs_model = pytest.mark.skipif(not os.path.exists(sentencepiece.MODEL_PATH), reason="no model file")
+
+
+@needs_model
+def test_tokens_match_the_library(spark):
+    import sentencepiece as library
+
+    raw = sentencepiece.read_model()
+    own = library.SentencePieceProcessor(model_proto=raw)
+    ts = ["Hello  world", "", None, " a ", "日本 😀\n\tx", "▁▁ a", "ñandú " * 50, "\x00"]
+    got = {r["doc_id"]: r for r in sentencepiece.encode(spark.createDataFrame(list(enumerate(ts)), "doc_id long, text string"), raw).collect()}
+    for i, t in enumerate(ts):
+        assert got[i]["ids"] == own.encode(t or "") and got[i]["roundtrip"] and got[i]["parity"]
+        assert got[i]["decoded"] == own.decode(got[i]["ids"])
+
+
+def toxic_docs(n, seed):
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        ws = [rng.choice("the of and more words that say nothing".split()) for _ in range(rng.randrange(5, 60))]
+        y = i % 5 == 0
+        if y:
+            for _ in range(3):
+                ws[rng.randrange(len(ws))] = rng.choice(["Idiot!", "scum"])
+        out.append((i, " ".join(ws), int(y)))
+    return out
+
+
+def test_toxicity_on_held_out_rows(spark):
+    rows = [*toxic_docs(400, 1), (400, None, 0), (401, "", 0)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+    assert all((got[i]["score"] >= 0.3) == bool(y) for i, _, y in rows)
+    i, text, _ = rows[0]
+    v = got[i]["toxic_spans"]
+    assert {text.encode()[a:b].lower() for a, b in zip(v[::2], v[1::2])} <= {b"idiot", b"scum"} and v
+    none = toxicity.fit(docs, labels.limit(0))
+    assert toxicity.score(docs, none).agg(F.max("score")).first()[0] < 0.01
+
+
+def test_gaps_agree_with_a_full_chain():
+    m = toxicity.Model({"x": 0, "y": 1}, np.array([[0.1, 1.5], [0.7, -0.3], [0.5, -0.5]]), np.array([[0.2, -0.1], [0.0, 0.4], [0.1, -0.2]]), np.array([[0.3, -0.6], [-0.2, 0.5]]), (1.0, 1.0, 0.0))
+    ids = np.array([2, 2, 0, 2, 2, 2, 1, 2, 0, 2])
+    full, _ = toxicity._chain(m, ids)
+    at = np.flatnonzero(ids < 2)
+    step = m.marginals(at, ids[at], len(ids))
+    # a plain word next to a feature word takes the neighbour weight of a plain word
+    assert step.shape == (3,) and np.all((step > 0) & (step < 1)) and np.argmax(step) == np.argmax(full[at, 1])
