@@ -87,44 +87,39 @@ class Model:
     def marginals(self, at: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
         """Probability of toxic at the feature words ``at`` of a text of n words.
 
-        Other words score alike, so the gaps are powers of one matrix."""
+        Feature words, their neighbours and the text's ends are taken one by one;
+        the words between all score alike, so a gap is a power of one matrix."""
         if not len(at):
             return np.zeros(0)
         other = len(self.words)
-        pot = self.emit[ids].copy()
-        apart = np.diff(at) > 1
-        pot[1:] += np.where(apart[:, None], self.near[other], self.near[ids[:-1]])
-        pot[:-1] += np.where(apart[:, None], self.near[other], self.near[ids[1:]])
-        pot[0] += self.near[other] if at[0] > 0 else 0
-        pot[-1] += self.near[other] if at[-1] < n - 1 else 0
+        places = np.unique(np.concatenate([at - 1, at, at + 1, [0, n - 1]]))
+        places = places[(places >= 0) & (places < n)]
+
+        def kind(where):
+            k = np.minimum(np.searchsorted(at, where), len(at) - 1)
+            return np.where(at[k] == where, ids[k], other)
+
+        pot = self.emit[kind(places)].copy()
+        pot += np.where((places > 0)[:, None], self.near[kind(places - 1)], 0.0)
+        pot += np.where((places < n - 1)[:, None], self.near[kind(places + 1)], 0.0)
         pot = np.exp(pot - pot.max(axis=1, keepdims=True))
         step = np.exp(self.move)
         blank = step * np.exp(self.emit[other] + 2 * self.near[other])[None, :]
         values, vectors = np.linalg.eig(blank)
         back = np.linalg.inv(vectors)
         values = values / np.abs(values).max()
-
-        def gap(k):  # k words between, then the move to the next feature word
-            return np.real(vectors @ np.diag(values**k) @ back) @ step
-
-        def end(k):
-            return np.real(vectors @ np.diag(values**k) @ back)
-
-        mats = [gap(int(k)) for k in np.diff(at) - 1]
-        fwd = np.empty((len(at), 2))
-        a = (np.ones(2) @ end(int(at[0]) - 1) if at[0] else np.ones(2)) @ (step if at[0] else np.eye(2)) * pot[0]
-        fwd[0] = a / a.sum()
-        for i, m in enumerate(mats, 1):
-            a = (fwd[i - 1] @ m) * pot[i]
+        mats = [step if k == 0 else np.real(vectors @ np.diag(values ** int(k)) @ back) @ step for k in np.diff(places) - 1]
+        m = len(places)
+        fwd, bwd = np.empty((m, 2)), np.full((m, 2), 0.5)
+        fwd[0] = pot[0] / pot[0].sum()
+        for i in range(1, m):
+            a = (fwd[i - 1] @ mats[i - 1]) * pot[i]
             fwd[i] = a / a.sum()
-        bwd = np.empty((len(at), 2))
-        b = end(int(n - 1 - at[-1])) @ np.ones(2)
-        bwd[-1] = b / b.sum()
-        for i in range(len(at) - 2, -1, -1):
+        for i in range(m - 2, -1, -1):
             b = mats[i] @ (pot[i + 1] * bwd[i + 1])
             bwd[i] = b / b.sum()
         p = fwd * bwd
-        return np.clip(p[:, 1] / p.sum(axis=1), 0.0, 1.0)
+        return np.clip(p[:, 1] / p.sum(axis=1), 0.0, 1.0)[np.searchsorted(places, at)]
 
     def score(self, expected: np.ndarray, n: np.ndarray) -> np.ndarray:
         a, b, c = self.curve
