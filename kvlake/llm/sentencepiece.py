@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from kvlake.llm import bytesops as B
 from kvlake.llm.common import without
 
 MARK = "▁"
@@ -176,7 +177,7 @@ class Tokenizer:
         return _PART.findall(marked) if self.cuts else [marked] if marked else []
 
     def encode_many(self, parts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.backend.encode_batch(parts, add_special_tokens=False)]
+        return [e.ids for e in self.backend.encode_batch_fast(parts, add_special_tokens=False)]
 
     def encode(self, text: str) -> list[int]:
         return [i for ids in self.encode_many(self.cut(self.marked(text))) for i in ids]
@@ -206,13 +207,13 @@ def _loaded(raw: bytes):
     return _LOADED[key]
 
 
-MAX_KNOWN = 200_000
+MAX_KNOWN = 300_000
 
 
 def _encode(batches, sent, text_at, schema, decode):
     os.environ["TOKENIZERS_PARALLELISM"] = "true"
     tok, own, known = _loaded(sent.value)
-    for batch in batches:
+    for batch in (part for whole in batches for part in B.pieces(whole, text_at, 4 * B.CHUNK_BYTES)):
         texts = batch.column(text_at).to_pylist()
         out_ids, n_bytes, decoded, ok, same = [], [], [], [], []
         for lo in range(0, len(texts), 256):
