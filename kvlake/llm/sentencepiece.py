@@ -26,6 +26,7 @@ import re
 import struct
 from dataclasses import dataclass, field
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -145,7 +146,7 @@ class Tokenizer:
         self.model = m = parse_model(raw)
         pieces = [p for p, _, _ in m.pieces]
         if m.kind == BPE:
-            backend = models.BPE({p: i for i, p in enumerate(pieces)}, _merges(m), unk_token=pieces[m.unknown], fuse_unk=True, byte_fallback=m.byte_fallback)
+            backend = models.BPE({p: i for i, p in enumerate(pieces)}, _merges(m), unk_token=pieces[m.unknown], fuse_unk=True, byte_fallback=m.byte_fallback, cache_capacity=0)  # each cut comes once
         elif m.kind == UNIGRAM:
             backend = models.Unigram([(p, s) for p, s, _ in m.pieces], unk_id=m.unknown, byte_fallback=m.byte_fallback)
         else:
@@ -154,6 +155,9 @@ class Tokenizer:
         self.backend = Backend(backend)
         self.bytes = {i: int(p[3:5], 16) for i, (p, _, kind) in enumerate(m.pieces) if kind == BYTE}
         self.hidden = {i for i, (_, _, kind) in enumerate(m.pieces) if kind == CONTROL}
+        self.is_byte = np.isin(np.arange(len(pieces)), list(self.bytes))
+        #: what each piece stands for
+        self.spelt = [bytes([self.bytes[i]]) if i in self.bytes else b"" if i in self.hidden else p.encode() for i, p in enumerate(pieces)]
         self.cuts = not any(p[i] == MARK and p[i - 1] != MARK for p in pieces for i in range(1, len(p)))
 
     def normalize(self, text: str) -> str:
@@ -184,70 +188,104 @@ class Tokenizer:
 
     def decode(self, ids: list[int]) -> str:
         """Text of pieces; runs of byte pieces are UTF-8, wrong bytes are replaced."""
-        out: list[bytes] = []
-        for i in ids:
-            if i in self.bytes:
-                out.append(bytes([self.bytes[i]]))
-            elif i not in self.hidden:
-                out.append(self.model.pieces[i][0].encode())
-        text = b"".join(out).decode(errors="replace").replace(MARK, " ")
+        return self.unmarked(self.bytes_of(ids).decode(errors="replace"))
+
+    def bytes_of(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.spelt.__getitem__, ids))
+
+    def unmarked(self, text: str) -> str:
+        """Spaces for markers, without the one before the text."""
+        text = text.replace(MARK, " ")
         return text[1:] if self.model.add_dummy_prefix and text.startswith(" ") else text
 
 
+class _Known:
+    """What a worker knows of the cuts it has met: for each, the ids, the bytes
+    they decode to, how many are byte pieces and whether the library agrees.
+    Ids lie in one array, so that a cut costs a string and a few numbers."""
+
+    def __init__(self, tok: Tokenizer, library):
+        self.tok, self.library = tok, library
+        self.clear()
+
+    def clear(self) -> None:
+        self.codes: dict[str, int] = {}
+        self.back: list[bytes] = []
+        self.ids, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.n_bytes, self.same = np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def meet(self, cuts: list[str]) -> list[int]:
+        """Codes of the cuts; those not met before are encoded in one batch."""
+        new = list(set(cuts).difference(self.codes))
+        if len(self.codes) + len(new) > MAX_KNOWN:  # forget; what these cuts need is made anew
+            self.clear()
+            new = list(set(cuts))
+        for lo in range(0, len(new), 1 << 16):
+            self._add(new[lo : lo + (1 << 16)])
+        return list(map(self.codes.__getitem__, cuts))
+
+    def _add(self, new: list[str]) -> None:
+        tok = self.tok
+        ids = tok.encode_many(new)
+        theirs = self.library.encode(_unmarked(new, tok), num_threads=1)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
+        of_bytes = np.r_[0, np.cumsum(tok.is_byte[flat])]
+        ends = np.cumsum(sizes)
+        self.codes.update(zip(new, range(len(self.codes), len(self.codes) + len(new))))
+        self.back += [tok.bytes_of(i) for i in ids]
+        self.n_bytes = np.r_[self.n_bytes, of_bytes[ends] - of_bytes[ends - sizes]]
+        self.same = np.r_[self.same, np.array([_parity(c, i, j, tok) for c, i, j in zip(new, ids, theirs)], bool)]
+        self.ids, self.at = np.r_[self.ids, flat], np.r_[self.at, self.at[-1] + ends]
+
+
 _LOADED: dict[str, tuple] = {}
 
 
-def _loaded(raw: bytes):
-    """The tokenizer, and the library's own processor for parity; once a worker."""
+def _loaded(raw: bytes) -> tuple[Tokenizer, _Known]:
+    """The tokenizer, and what it was held against the library for; once a worker."""
     key = hashlib.sha256(raw).hexdigest()
     if key not in _LOADED:
         import sentencepiece
 
-        _LOADED[key] = (Tokenizer(raw), sentencepiece.SentencePieceProcessor(model_proto=raw), {})
+        tok = Tokenizer(raw)
+        _LOADED[key] = (tok, _Known(tok, sentencepiece.SentencePieceProcessor(model_proto=raw)))
     return _LOADED[key]
 
 
-MAX_KNOWN = 300_000
+MAX_KNOWN = 600_000
 
 
 def _encode(batches, sent, text_at, schema, decode):
     os.environ["TOKENIZERS_PARALLELISM"] = "true"
-    tok, own, known = _loaded(sent.value)
+    tok, known = _loaded(sent.value)
     for batch in (part for whole in batches for part in B.pieces(whole, text_at, 4 * B.CHUNK_BYTES)):
-        texts = batch.column(text_at).to_pylist()
-        out_ids, n_bytes, decoded, ok, same = [], [], [], [], []
-        for lo in range(0, len(texts), 256):
-            marked = [tok.marked(t or "") for t in texts[lo : lo + 256]]
-            cuts = [tok.cut(m) for m in marked]
-            new = list({c for cs in cuts for c in cs if c not in known})
-            if len(known) + len(new) > MAX_KNOWN:  # forget; what a batch needs is made anew
-                known.clear()
-                new = list({c for cs in cuts for c in cs})
-            if new:
-                ids = tok.encode_many(new)
-                theirs = own.encode(_unmarked(new, tok), num_threads=1)
-                for c, i, j in zip(new, ids, theirs):
-                    known[c] = (i, _parity(c, i, j, tok), sum(x in tok.bytes for x in i), tok_bytes(i, tok))
-            for m, cs in zip(marked, cuts):
-                found = [known[c] for c in cs]
-                out_ids.append([x for f in found for x in f[0]])
-                n_bytes.append(sum(f[2] for f in found))
-                same.append(all(f[1] for f in found))
-                back = b"".join(f[3] for f in found).decode(errors="replace")
-                ok.append(back == m)
-                if decode:
-                    text = back.replace(MARK, " ")
-                    decoded.append(text[1:] if tok.model.add_dummy_prefix and text.startswith(" ") else text)
-        cols = [*batch.columns, pa.array(out_ids, pa.list_(pa.int32())), pa.array([len(x) for x in out_ids], pa.int64()), pa.array(n_bytes, pa.int64())]
+        marked = [tok.marked(t or "") for t in batch.column(text_at).to_pylist()]
+        cuts = [tok.cut(m) for m in marked]
+        ends = np.r_[0, np.cumsum(np.fromiter(map(len, cuts), np.int64, len(cuts)))]
+        codes = known.meet(list(chain.from_iterable(cuts)))
+        del cuts
+        code = np.array(codes, np.int64)
+        # ids of each cut in turn, then bounds of each document among them
+        first, size = known.at[code], known.at[code + 1] - known.at[code]
+        upto = np.r_[0, np.cumsum(size)]
+        ids = known.ids[np.repeat(first - upto[:-1], size) + np.arange(upto[-1])]
+        bounds = upto[ends]
+        n_bytes = np.diff(np.r_[0, np.cumsum(known.n_bytes[code])][ends])
+        differ = np.diff(np.r_[0, np.cumsum(~known.same[code])][ends])
+        ok, decoded = [], []
+        for m, a, b in zip(marked, ends[:-1].tolist(), ends[1:].tolist()):
+            back = b"".join(map(known.back.__getitem__, codes[a:b])).decode(errors="replace")
+            ok.append(back == m)
+            if decode:
+                decoded.append(tok.unmarked(back))
+        lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
+        cols = [*batch.columns, lists, pa.array(np.diff(bounds)), pa.array(n_bytes)]
         cols += [pa.array(decoded, pa.string())] if decode else []
-        cols += [pa.array(ok, pa.bool_()), pa.array(same, pa.bool_())]
+        cols += [pa.array(ok, pa.bool_()), pa.array(differ == 0)]
         yield pa.RecordBatch.from_arrays(cols, names=schema)
 
 
-def tok_bytes(ids: list[int], tok: Tokenizer) -> bytes:
-    return b"".join(bytes([tok.bytes[i]]) if i in tok.bytes else b"" if i in tok.hidden else tok.model.pieces[i][0].encode() for i in ids)
-
-
 def _unmarked(cuts: list[str], tok: Tokenizer) -> list[str]:
     """What the library must be given so that it sees each cut as it stands: the
     library adds the first marker itself."""
@@ -277,7 +315,7 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", decode: bool =
 
 
 def decode_column(batches, sent, ids_at, schema):
-    tok, _, _ = _loaded(sent.value)
+    tok, _ = _loaded(sent.value)
     for batch in batches:
         texts = [tok.decode(x or []) for x in batch.column(ids_at).to_pylist()]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema)
