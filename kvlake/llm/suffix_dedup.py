@@ -173,11 +173,26 @@ class SuffixSorter:
         self.prefix = B.prefix_hash(data)
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Length of the common extension of each pair, at most ``width``."""
-        low, high = np.zeros(len(a), np.int64), np.full(len(a), self.width, np.int64)
-        for _ in range(self.width.bit_length()):
+        """Length of the common extension of each pair, at most ``width``.
+
+        Most pairs agree in whole or differ within a few bytes, so the whole
+        and a short start are compared before the longer search."""
+        out, short = np.full(len(a), self.width, np.int64), min(16, self.width)
+        differ = np.flatnonzero(~self._same(a, b, self.width))
+        early = ~self._same(a[differ], b[differ], short)
+        for some, low, high in ((differ[early], 0, short - 1), (differ[~early], short, self.width - 1)):
+            out[some] = self._search(a[some], b[some], low, high)
+        return out
+
+    def _same(self, a: np.ndarray, b: np.ndarray, n) -> np.ndarray:
+        return B.span_hash(self.prefix, a, a + n) == B.span_hash(self.prefix, b, b + n)
+
+    def _search(self, a: np.ndarray, b: np.ndarray, least: int, most: int) -> np.ndarray:
+        """Common extensions known to lie between two lengths, by binary search."""
+        low, high = np.full(len(a), least, np.int64), np.full(len(a), most, np.int64)
+        for _ in range(max(most - least, 0).bit_length()):
             mid = (low + high + 1) >> 1
-            same = B.span_hash(self.prefix, a, a + mid) == B.span_hash(self.prefix, b, b + mid)
+            same = self._same(a, b, mid)
             low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
         return low
 
