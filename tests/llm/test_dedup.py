@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from kvlake.llm import decontaminate, kd_sharding, line_dedup, ngram_join, suffix_dedup
@@ -154,3 +155,15 @@ def test_empty_tables(spark):
     assert kd_sharding.shard(none, ["doc_id"], n_shards=8).count() == 0
     bench = spark.createDataFrame([], "item_id string, text string")
     assert decontaminate.find_contamination(frame(spark, ["a b"]), bench).first()["n_hit"] == 0
+
+
+def test_short_sets_never_lose_a_link():
+    rng = np.random.default_rng(5)
+    for n in [0, 1, 2, 7, 63, 64, 200, 5000] * 5:
+        a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        b = np.unique(np.r_[a[rng.random(len(a)) < 0.9], rng.integers(0, 2**64, n // 8, dtype=np.uint64)])
+        x, y = (ngram_join.lengthen(ngram_join.shorten(s)) for s in (a, b))
+        assert np.array_equal(x[0], (a >> np.uint64(64 - x[1])).astype(np.int64))
+        assert ngram_join.may_be_linked(x, y, 75) or not ngram_join.linked(a, b, 75)
+    far = ngram_join.lengthen(ngram_join.shorten(np.unique(rng.integers(0, 2**64, 5000, dtype=np.uint64))))
+    assert not ngram_join.may_be_linked(x, far, 75)
