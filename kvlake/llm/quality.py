@@ -9,8 +9,11 @@ The estimate is found by concentration steps: from medians and quartile spreads,
 take the ``support`` share of rows nearest by distance, re-estimate mean and
 covariance from them, and repeat.  Both the order statistics and the sums are
 aggregates with map-side combine over (group, bin), so a group that holds a
-third of all rows is no one task's work, and all rows take part.  Groups below
-``min_group`` rows are pooled.
+third of all rows is no one task's work, and all rows take part.
+
+Every language and source has an estimate of its own, and every language one over
+all its sources.  A group of n rows is judged by the mean of the two, its own with
+weight n / (n + ``prior``): continuous in n, and never across languages.
 
 Defined results: a null or empty text has no words and fails the base rule.
 Null language or source is a value of its own.  Rows with equal doc_id are
@@ -29,7 +32,8 @@ from kvlake.llm.common import store, without
 WINDOW = 8
 SUPPORT = 0.75
 STEPS = 4
-MIN_GROUP = 200
+#: Rows at which a group's own estimate and its language's count alike.
+PRIOR = 100
 #: Least spread taken for each statistic: what differs by less is no outlier.
 FLOORS = (0.6, 0.35, 0.25, 0.15)
 #: Squared distance in floored spreads beyond which a document is an outlier.
@@ -175,21 +179,38 @@ def fit(rows: DataFrame, support: float = SUPPORT, steps: int = STEPS, floors: t
     return model
 
 
+def _shrunk(sizes: DataFrame, model: DataFrame, prior: float, dims: int) -> DataFrame:
+    """Estimate of each _g0 of ``sizes`` (_g0, _l0, _k): its own, drawn towards that of _l0."""
+    names = [f"m{i}" for i in range(dims)] + [f"l{i}{j}" for i in range(dims) for j in range(i + 1)]
+    own = model.select(F.col("g").alias("_g0"), *[F.col(c).alias(f"own_{c}") for c in names])
+    lang = model.select(F.col("g").alias("_l0"), *[F.col(c).alias(f"lang_{c}") for c in names])
+    both = sizes.join(own, "_g0").join(lang, "_l0")
+    weight = F.col("_k") / (F.col("_k") + F.lit(float(prior)))
+
+    def mean(of) -> Column:
+        return weight * of("own_") + (1 - weight) * of("lang_")
+
+    def scatter(i: int, j: int) -> Column:
+        return mean(lambda p: sum((F.col(f"{p}l{i}{k}") * F.col(f"{p}l{j}{k}") for k in range(j + 1)), F.lit(0.0)))
+
+    ms = [mean(lambda p, i=i: F.col(f"{p}m{i}")).alias(f"m{i}") for i in range(dims)]
+    return _factor(both.select("_g0", *ms, *[scatter(i, j).alias(f"s{i}{j}") for i in range(dims) for j in range(i + 1)]), dims, ["_g0"])
+
+
 def judge(
-    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep: list[str] | None = None, cutoff: float = CUTOFF, min_group: int = MIN_GROUP, **how
+    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep: list[str] | None = None, cutoff: float = CUTOFF, prior: float = PRIOR, **how
 ) -> DataFrame:
     """Columns ``keep`` of ``docs`` (all by default) with the base counts,
     distance2 (null if the base rule failed) and kept."""
     docs = without(docs, *ADDED)
     keep = docs.columns if keep is None else keep
-    group = F.to_json(F.struct(F.col(f"`{lang_col}`").cast("string").alias("l"), F.col(f"`{source_col}`").cast("string").alias("s")))
-    named = base_counts(docs.withColumn("_g0", group), text_col)
-    rows = store(named.select(*[f"`{c}`" for c in keep], "_g0", *BASE, *[x.cast("double").alias(f"x{i}") for i, x in enumerate(statistics())]))
-    passed = rows.where("not base_failed").select("_g0", *[f"x{i}" for i in range(DIMS)])
-    sizes = passed.groupBy("_g0").agg(F.count("*").alias("_k")).select("_g0", F.when(F.col("_k") >= min_group, F.col("_g0")).otherwise(F.lit("")).alias("g"))
-    model = fit(passed.join(sizes, "_g0").drop("_g0"), **how)
-    verdict = sizes.join(model, "g").drop("g")
-    out = rows.join(verdict, "_g0", "left")
+    lang, source = F.col(f"`{lang_col}`").cast("string").alias("l"), F.col(f"`{source_col}`").cast("string").alias("s")
+    named = base_counts(docs.withColumn("_g0", F.concat(F.lit("g"), F.to_json(F.struct(lang, source)))).withColumn("_l0", F.concat(F.lit("l"), F.to_json(F.struct(lang)))), text_col)
+    rows = store(named.select(*[f"`{c}`" for c in keep], "_g0", "_l0", *BASE, *[x.cast("double").alias(f"x{i}") for i, x in enumerate(statistics())]))
+    passed = rows.where("not base_failed").select("_g0", "_l0", *[f"x{i}" for i in range(DIMS)])
+    model = fit(passed.select(F.explode(F.array("_g0", "_l0")).alias("g"), *[f"x{i}" for i in range(DIMS)]), **how)
+    sizes = passed.groupBy("_g0", "_l0").agg(F.count("*").alias("_k"))
+    out = rows.join(store(_shrunk(sizes, model, prior, DIMS)), "_g0", "left")
     d2 = F.when(~F.col("base_failed"), _distance2(DIMS))
     out = out.withColumn("distance2", d2)
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance2") <= cutoff, F.lit(True))).select(*[f"`{c}`" for c in keep], *ADDED)

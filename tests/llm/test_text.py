@@ -51,6 +51,19 @@ def test_quality_rejects_outliers_and_keeps_clean(spark):
     assert quality.judge(df.limit(0)).count() == 0
 
 
+def test_quality_judges_small_groups_within_their_language(spark):
+    rng = random.Random(3)
+
+    def text(stem):
+        return " ".join(stem + rng.choice("abcdefghij") * rng.randrange(1, 4) for _ in range(rng.randrange(60, 120)))
+
+    rows = [(i, text("donaudampfschiff"), "de", "s") for i in range(150)]
+    rows += [(200 + i, text("x"), "en", "s") for i in range(36)] + [(300 + i, text("x"), "en", "t") for i in range(3)]
+    rows += [(400, text("donaudampfschiff"), "en", "t"), (401, text("x"), None, None)]
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert len(got) == len(rows) and not got.pop(400) and all(got.values())
+
+
 def test_pii_keeps_formats_and_links(spark):
     t = "card 4111111111111111, again 4111 1111 1111 1111; tel +1 (017) 555-7713 2024-02-29 ip 10.1.255.3 bad 999.1.1.1 2023-02-29 a.b9@x.org v4.0 in 2020 " + "0" * 8 + "ab" * 16
     df = spark.createDataFrame([(1, t), (2, "4111111111111111"), (3, None), (4, ""), (5, "31/12/1999")], "doc_id long, text string")
