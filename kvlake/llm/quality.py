@@ -5,9 +5,11 @@ pass the base rule are then held against their own language and source: the
 minimum covariance determinant estimate of location and scatter of a vector of
 transformed statistics, and the Mahalanobis distance to it.
 
-The estimate is found by concentration steps: from medians and quartile spreads,
-take the ``support`` share of rows nearest by distance, re-estimate mean and
-covariance from them, and repeat.  Both the order statistics and the sums are
+The estimate is found by concentration steps: take the ``support`` share of rows
+nearest by distance, re-estimate mean and covariance from them, and repeat.  The
+steps run from several starts (medians, shortest halves, lower and upper
+quartiles), that of the least determinant stays, and is estimated once more from
+all rows within the 97.5 % quantile of it.  Both the order statistics and the sums are
 aggregates with map-side combine over (group, bin), so a group that holds a
 third of all rows is no one task's work, and all rows take part.
 
@@ -30,8 +32,12 @@ from pyspark.sql import functions as F
 from kvlake.llm.common import store, without
 
 WINDOW = 8
-SUPPORT = 0.75
+SUPPORT = 0.5
 STEPS = 4
+#: Share of a normal law's rows that the last estimate takes.
+REWEIGHT = 0.975
+#: Quantiles of each statistic that the starts are made from, less one.
+GRID = 16
 #: Rows at which a group's own estimate and its language's count alike.
 PRIOR = 100
 #: Least spread taken for each statistic: what differs by less is no outlier.
@@ -99,14 +105,20 @@ def statistics() -> list[Column]:
     ]
 
 
-def consistency(support: float) -> float:
-    """Factor that makes the scatter of the nearest ``support`` share that of all
-    rows of a normal law in four dimensions."""
+def chi2(share: float) -> float:
+    """Squared distance that ``share`` of a normal law's rows in four dimensions are within."""
     lo, hi = 0.0, 100.0
     for _ in range(80):
         q = (lo + hi) / 2
-        lo, hi = (q, hi) if 1 - math.exp(-q / 2) * (1 + q / 2) < support else (lo, q)
-    return support / (1 - math.exp(-lo / 2) * (1 + lo / 2 + lo * lo / 8))
+        lo, hi = (q, hi) if 1 - math.exp(-q / 2) * (1 + q / 2) < share else (lo, q)
+    return lo
+
+
+def consistency(support: float) -> float:
+    """Factor that makes the scatter of the nearest ``support`` share that of all
+    rows of a normal law in four dimensions."""
+    q = chi2(support)
+    return support / (1 - math.exp(-q / 2) * (1 + q / 2 + q * q / 8))
 
 
 def _distance2(dims: int) -> Column:
@@ -132,51 +144,74 @@ def _factor(scatter: DataFrame, dims: int, keep: list[str]) -> DataFrame:
     return out.select(*keep, *[f"m{i}" for i in range(dims)], *[f"l{i}{j}" for i in range(dims) for j in range(i + 1)])
 
 
-def _rank_cut(rows: DataFrame, by: list[str], bin_: str, share: float, name: str) -> DataFrame:
-    """The lowest bin of each group at which ``share`` of its rows are reached."""
-    counts = rows.groupBy(*by, bin_).agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy(bin_))
-    total = F.sum("_n").over(Window.partitionBy(*by))
-    return counts.withColumn("_c", upto).withColumn("_t", total).where(F.col("_c") >= F.lit(share) * F.col("_t")).groupBy(*by).agg(F.min(bin_).alias(name))
+def _running(rows: DataFrame, by: list[str], bin_: str) -> DataFrame:
+    """Rows of each bin of a group as n, up to its end as upto, and of the group as total."""
+    counts = rows.groupBy(*by, bin_).agg(F.count("*").alias("n"))
+    group = Window.partitionBy(*by)
+    return counts.withColumn("upto", F.sum("n").over(group.orderBy(bin_))).withColumn("total", F.sum("n").over(group))
+
+
+def _starts(rows: DataFrame, floors: tuple[float, ...]) -> DataFrame:
+    """The first models of each ``g``, numbered k: a centre and a spread of each statistic."""
+    dims = len(floors)
+    long = rows.select("g", F.posexplode(F.array(*[F.floor(F.col(f"x{i}") * 256).cast("long") for i in range(dims)])).alias("d", "b"))
+    at = [F.min(F.when(F.col("upto") * GRID >= F.col("total") * k, (F.col("b") + 0.5) / 256)) for k in range(GRID + 1)]
+    grid = _running(long, ["g", "d"], "b").groupBy("g", "d").agg(F.array(*at).alias("q"))
+    q = [F.col("q")[k] for k in range(GRID + 1)]
+    half, quarter = GRID // 2, GRID // 4
+    shortest = F.array_min(F.array(*[F.struct((q[k + half] - q[k]).alias("w"), ((q[k + half] + q[k]) / 2).alias("c")) for k in range(GRID - half + 1)]))
+    grid = grid.withColumn("h", shortest)
+    spread = F.col("h.w")
+    pairs = [(q[half], q[half + quarter] - q[quarter]), (F.col("h.c"), spread), (q[quarter], spread), (q[half + quarter], spread)]
+    each = grid.select("g", "d", F.posexplode(F.array(*[F.struct(c.alias("c"), (w / 1.349).alias("w")) for c, w in pairs])).alias("k", "v"))
+    aggs = []
+    for i, floor in enumerate(floors):
+        on = F.col("d") == i
+        aggs.append(F.max(F.when(on, F.col("v.c"))).alias(f"m{i}"))
+        aggs.append(F.max(F.when(on, F.greatest(F.col("v.w"), F.lit(floor)))).alias(f"l{i}{i}"))
+    return each.groupBy("g", "k").agg(*aggs).select("*", *[F.lit(0.0).alias(f"l{i}{j}") for i in range(dims) for j in range(i)])
+
+
+def _estimate(taken: DataFrame, by: list[str], scale: float, floors: tuple[float, ...]) -> DataFrame:
+    """Mean and scatter of the rows of ``taken``, which count by their weight w."""
+    dims = len(floors)
+    x = [F.col(f"x{i}") - F.col(f"m{i}") for i in range(dims)]  # centred: no cancellation
+    new = taken.groupBy(*by).agg(
+        F.sum("w").alias("n"),
+        *[F.sum(F.col("w") * x[i]).alias(f"a{i}") for i in range(dims)],
+        *[F.sum(F.col("w") * x[i] * x[j]).alias(f"b{i}{j}") for i in range(dims) for j in range(i + 1)],
+        *[F.first(f"m{i}").alias(f"c{i}") for i in range(dims)],
+    )
+    for i in range(dims):
+        new = new.withColumn(f"m{i}", F.col(f"c{i}") + F.col(f"a{i}") / F.col("n"))
+        for j in range(i + 1):
+            cov = (F.col(f"b{i}{j}") / F.col("n") - F.col(f"a{i}") * F.col(f"a{j}") / (F.col("n") * F.col("n"))) * F.lit(scale)
+            new = new.withColumn(f"s{i}{j}", cov + F.lit(floors[i] ** 2 if i == j else 0.0))
+    return _factor(new, dims, by)
 
 
 def fit(rows: DataFrame, support: float = SUPPORT, steps: int = STEPS, floors: tuple[float, ...] = FLOORS) -> DataFrame:
     """Minimum covariance determinant estimate of each ``g``: columns m and l.
 
     ``rows`` has g and x0, x1, ...; at every step the nearest rows are taken by
-    bins of the log distance, whole bins at a time, so ties are not split.
+    bins of the log distance.  All rows of the last bin count by the same part, so
+    ties are not split and the rows taken weigh ``support`` of the group.
     """
     dims = len(floors)
-    long = rows.select("g", F.posexplode(F.array(*[F.floor(F.col(f"x{i}") * 256).cast("long") for i in range(dims)])).alias("d", "b"))
-    low, mid, high = (_rank_cut(long, ["g", "d"], "b", q, n) for q, n in ((0.25, "q1"), (0.5, "q2"), (0.75, "q3")))
-    start = low.join(mid, ["g", "d"]).join(high, ["g", "d"]).groupBy("g")
-    aggs = []
-    for i, floor in enumerate(floors):
-        at = F.col("d") == i
-        aggs.append(F.max(F.when(at, (F.col("q2") + 0.5) / 256)).alias(f"m{i}"))
-        aggs.append(F.max(F.when(at, F.greatest((F.col("q3") - F.col("q1")) / 256 / 1.349, F.lit(floor)))).alias(f"l{i}{i}"))
-    model = store(start.agg(*aggs).select("*", *[F.lit(0.0).alias(f"l{i}{j}") for i in range(dims) for j in range(i)]))
-    scale = consistency(support)
+    model = store(_starts(rows, floors))
+    names = [c for c in model.columns if c not in ("g", "k")]
     for _ in range(steps):
-        bin_ = F.floor(F.ln(_distance2(dims) + 1e-9) * 64).cast("long")
-        near = rows.join(model, "g").withColumn("b", bin_)
-        cut = _rank_cut(near, ["g"], "b", support, "cut")
-        taken = near.join(cut, "g").where("b <= cut")
-        x = [F.col(f"x{i}") - F.col(f"m{i}") for i in range(dims)]  # centred: no cancellation
-        sums = taken.groupBy("g").agg(
-            F.count("*").alias("n"),
-            *[F.sum(x[i]).alias(f"a{i}") for i in range(dims)],
-            *[F.sum(x[i] * x[j]).alias(f"b{i}{j}") for i in range(dims) for j in range(i + 1)],
-            *[F.first(f"m{i}").alias(f"c{i}") for i in range(dims)],
-        )
-        new = sums
-        for i in range(dims):
-            new = new.withColumn(f"m{i}", F.col(f"c{i}") + F.col(f"a{i}") / F.col("n"))
-            for j in range(i + 1):
-                cov = (F.col(f"b{i}{j}") / F.col("n") - F.col(f"a{i}") * F.col(f"a{j}") / (F.col("n") * F.col("n"))) * F.lit(scale)
-                new = new.withColumn(f"s{i}{j}", cov + F.lit(floors[i] ** 2 if i == j else 0.0))
-        model = store(_factor(new, dims, ["g"]))
-    return model
+        near = rows.join(model, "g").withColumn("b", F.floor(F.ln(_distance2(dims) + 1e-9) * 64).cast("long"))
+        want = F.lit(support) * F.col("total")
+        last = _running(near, ["g", "k"], "b").where((F.col("upto") >= want) & (F.col("upto") - F.col("n") < want))
+        cut = store(last.select("g", "k", F.col("b").alias("cut"), ((want - F.col("upto") + F.col("n")) / F.col("n")).alias("part")))
+        taken = near.join(cut, ["g", "k"]).where("b <= cut").withColumn("w", F.when(F.col("b") < F.col("cut"), F.lit(1.0)).otherwise(F.col("part")))
+        model = store(_estimate(taken, ["g", "k"], consistency(support), floors))
+    # rounded: starts that meet differ by the order of sums only
+    size = F.round(sum((F.ln(f"l{i}{i}") for i in range(dims)), F.lit(0.0)), 6)
+    best = model.groupBy("g").agg(F.min(F.struct(size.alias("size"), "k", *names)).alias("v")).select("g", *[f"v.{c}" for c in names])
+    within = rows.join(store(best), "g").where(_distance2(dims) <= chi2(REWEIGHT)).withColumn("w", F.lit(1.0))
+    return store(_estimate(within, ["g"], consistency(REWEIGHT), floors))
 
 
 def _shrunk(sizes: DataFrame, model: DataFrame, prior: float, dims: int) -> DataFrame:

@@ -64,6 +64,25 @@ def test_quality_judges_small_groups_within_their_language(spark):
     assert len(got) == len(rows) and not got.pop(400) and all(got.values())
 
 
+def test_quality_rejects_a_third_of_junk_copies(spark):
+    rng = random.Random(4)
+    clean = [" ".join(rng.choice(["some", "plain", "words", "here", "and", "there", str(i)]) for _ in range(rng.randrange(60, 120))) for i in range(200)]
+    junk = "\n".join(["&".join(rng.choice("abcdefgh") * 9 for _ in range(3)) for _ in range(30)])
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(clean + [junk] * 100)], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in quality.judge(df).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert all(got[i]["kept"] for i in range(200)) and not any(got[i]["kept"] for i in range(200, 300))
+
+
+@pytest.mark.parametrize("shift", [[8, 5, 4, 3], [-8, 5, -4, 3], [0, 0, 0, -6]])
+def test_quality_estimate_leaves_out_two_fifths_of_copies(spark, shift):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(500, 4)) * [1, 0.5, 0.3, 0.2]
+    x[:200] = shift
+    m = quality.fit(spark.createDataFrame([("g", *map(float, v)) for v in x], "g string, x0 double, x1 double, x2 double, x3 double")).first()
+    assert np.abs([m[f"m{i}"] for i in range(4)]).max() < 0.3
+
+
 def test_pii_keeps_formats_and_links(spark):
     t = "card 4111111111111111, again 4111 1111 1111 1111; tel +1 (017) 555-7713 2024-02-29 ip 10.1.255.3 bad 999.1.1.1 2023-02-29 a.b9@x.org v4.0 in 2020 " + "0" * 8 + "ab" * 16
     df = spark.createDataFrame([(1, t), (2, "4111111111111111"), (3, None), (4, ""), (5, "31/12/1999")], "doc_id long, text string")
