@@ -167,6 +167,23 @@ def test_lru_cache_and_stack_distance(spark):
     assert cache.cache_stats(dist, 4).first()["hits"] == lru.hits
 
 
+def test_stack_distance_of_one_long_shard(spark):
+    rng = random.Random(2)
+    acc = [("b" if i % 3 else "a", 7 * i, rng.choice([None, 0, *range(1, 400)]) if i % 5 else 0) for i in range(3000)]
+    dealt = spark.createDataFrame(rng.sample(acc, len(acc)), "shard string, access_id long, block long")
+    out = cache.stack_distance(dealt)
+    want = {}
+    for shard in "ab":
+        recent = []
+        for _, i, b in (a for a in acc if a[0] == shard):
+            want[i] = recent.index(b) if b in recent else None
+            recent = [b, *(x for x in recent if x != b)]
+    assert {r["access_id"]: r["distance"] for r in out.collect()} == want
+    # no pairs of accesses by range: every join has an equal key and no other condition
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan and not [x for x in plan.split("\n") if "Join" in x and (" < " in x or " > " in x)]
+
+
 def test_options():
     with pytest.raises(InvalidArgument):
         Options().with_(max_levels=1)
