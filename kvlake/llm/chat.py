@@ -24,7 +24,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,13 +65,16 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 def messages_to_events(messages: DataFrame, pieces: int = 3) -> DataFrame:
     """A log of events that ends in the given messages (conv_id, turn, role, text).
 
+    Rows of one (conv_id, turn) stay separate messages, numbered by role and text as ``part``.
+
     A text is streamed as up to ``pieces`` deltas.  Every second user message is
     first sent in capitals and then edited; assistant messages are first
     streamed in reverse and then regenerated.  All is derived from the rows.
     """
     text = F.coalesce("text", F.lit(""))
     rows = messages.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), text.alias("text"))
-    # equal (conv_id, turn) rows stay separate messages: numbered by role and text
+    same = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
+    rows = rows.withColumn("part", (F.row_number().over(same) - 1).cast("long"))
     step = F.ceil(F.length("text") / F.lit(pieces)).cast("int")
     parts = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: F.substring(F.col("text"), i * step + 1, step))
     none = F.lit(None).cast("string")
@@ -84,7 +87,8 @@ def messages_to_events(messages: DataFrame, pieces: int = 3) -> DataFrame:
     edited = F.when((F.col("role") != "assistant") & (F.col("turn") % 2 == 0), F.concat(F.array(event(DELTA, F.upper("text"))), F.array(event(EDIT, F.col("text")))))
     body = F.coalesce(edited, F.concat(F.coalesce(draft, F.array().cast("array<struct<kind:string,text:string>>")), deltas))
     all_ = F.concat(F.array(event(START, none)), body)
-    return rows.select("conv_id", "turn", "role", F.posexplode(all_).alias("seq", "e")).select("conv_id", "turn", F.col("seq").cast("long").alias("seq"), F.col("e.kind").alias("kind"), "role", F.col("e.text").alias("text"))
+    out = rows.select("conv_id", "turn", "part", "role", F.posexplode(all_).alias("seq", "e"))
+    return out.select("conv_id", "turn", "part", F.col("seq").cast("long").alias("seq"), F.col("e.kind").alias("kind"), "role", F.col("e.text").alias("text"))
 
 
 class _Fold:

@@ -118,6 +118,21 @@ def test_chat_round_trip(spark):
     assert got[None]["n_turns"] == 1
 
 
+def test_chat_keeps_rows_of_one_turn_apart(spark):
+    rows = [(2, 0, "a: b", ""), (2, 0, "a: b", ""), (2, 1, "assistant", "yes"), (2, 1, "assistant", "no"), (2, 1, "user", "é#")]
+    rows += [(3, None, "user", "b"), (3, None, "assistant", "a"), (3, None, None, None), (3, 0, "user", "c"), (None, 1, "assistant", "x"), (None, 1, "assistant", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in chat.digest(chat.format_turns(chat.reconstruct(chat.messages_to_events(df)))).collect()}
+    assert set(got) == {2, 3, None}
+    for conv, r in got.items():
+        said = sorted((t is not None, t or 0, role or "", text or "") for c, t, role, text in rows if c == conv)
+        assert r["n_turns"] == len(said)
+        assert r["turns_sha256"] == hashlib.sha256("".join(f"{role}\n{text}\n" for *_, role, text in said).encode()).hexdigest()
+        assert r["loss_sha256"] == hashlib.sha256("".join(text for *_, role, text in said if role == "assistant").encode()).hexdigest()
+        assert r["loss_chars"] == sum(len(text) for *_, role, text in said if role == "assistant")
+        assert r["formatted_chars"] == sum(len(chat.render(role, text)) for *_, role, text in said)
+
+
 def test_chat_edits_and_regenerations(spark):
     events = [(1, 0, 0, "start", "user", None), (1, 0, 1, "delta", None, "he"), (1, 0, 2, "delta", None, "llo"), (1, 0, 9, "edit", None, "bye"), (1, 1, 3, "start", "assistant", None), (1, 1, 4, "delta", None, "bad"), (1, 1, 5, "regenerate", None, None), (1, 1, 6, "delta", None, "good")]
     rng = random.Random(0)
