@@ -406,10 +406,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     postings = store(postings.join(several, "sig", "left_semi"))
     # a rare token of a prefix that no other set has can't be shared
     shared = postings.where(F.col("sig").bitwiseAND(F.lit(1)) == 0).groupBy("id").agg(F.count("*").alias("c"))
-    rare = matched.where("sig is null").groupBy("id").agg(F.max("n_rare").alias("r"), F.count("*").alias("k"))
+    rare = matched.where("sig is null").groupBy("id").agg(F.max("n_rare").alias("r"))
+    # of an id with several rows, the tokens may be another row's, which says nothing of this one
+    rows = sets.where("id is not null and n > 0").groupBy("id").agg(F.count("*").alias("k")).where("k > 1")
     most = F.when(F.col("k") > 1, F.col("hi")).otherwise(F.col("hi") - F.greatest(F.coalesce("r", F.lit(0)) - F.coalesce("c", F.lit(0)), F.lit(0)))
     label = store(postings.select("id").distinct().withColumn("component", F.col("id")))
-    bounds = label.join(reps, "id").join(rare, "id", "left").join(shared, "id", "left").select("id", "component", "lo", "hi", most.alias("most"))
+    bounds = label.join(reps, "id").join(rare, "id", "left").join(rows, "id", "left").join(shared, "id", "left").select("id", "component", "lo", "hi", most.alias("most"))
     open_ = store(postings.join(bounds, "id"))
     # first, each set against the one pivot with which it shares most signatures
     pairs, _ = _candidates(open_, 1, percent)

@@ -105,6 +105,18 @@ def test_ngram_join_matches_brute_force(spark, least):
     assert {i: (got[i * 3]["n_shingles"], got[i * 3]["component_id"] // 3) for i in range(len(ts))} == dict(enumerate(want))
 
 
+def test_ngram_join_keeps_links_of_an_id_with_several_texts(spark):
+    words = lambda name, n: [f"{name}{i}" for i in range(n)]
+    a = words("a", 104)
+    ts = [" ".join(a), " ".join(words("b", 104)), " ".join(a[:94] + words("c", 10)), " ".join(a[90:] + words("d", 100))]
+    want = components(ts)
+    assert [root for _, root in want] == [0, 1, 0, 3]
+    # the first two texts are one document; all shingles of the first are in another text too, none of the second
+    df = spark.createDataFrame(list(zip([0, 0, 2, 3], ts)), "doc_id long, text string").coalesce(1)
+    got = {(r["doc_id"], r["component_id"]) for r in ngram_join.near_duplicates(df, share=0.0, least=2).collect()}
+    assert got == {(0, 0), (2, 0), (3, 3)}
+
+
 def test_decontamination_blocks_and_short_items(spark):
     rng = random.Random(4)
     ws = lambda n: [rng.choice("abc") + str(rng.randrange(9)) for _ in range(n)]
