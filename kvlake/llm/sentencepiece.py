@@ -7,19 +7,27 @@ scores; of BPE models the merges are rebuilt from the piece scores.
 
 Where no piece has the marker after another character, a text can be cut before
 each run of markers without changing its pieces.  A batch's distinct cuts are
-then encoded once, in one multithreaded ``encode_batch``, and looked up.
+then encoded once, in one multithreaded ``encode_batch``, and looked up.  What a
+worker remembers of cuts is bounded in bytes.
 
-Parity: every task holds the tokenizer against the sentencepiece library on the
-distinct cuts it meets, and each document's decoded text against the text as
-the model normalises it.  ``encode`` reports both.
+Only normal pieces are found in texts.  Control, unknown, unused and byte pieces
+that a text spells out are spelt with other pieces, as the library does;
+user-defined pieces are cut out first and stay whole.
+
+Parity: every task holds the model's normalisation of each whole text against
+the sentencepiece library's, its pieces against the library's on the distinct
+cuts it meets, and each document's decoded text against the text as the model
+normalises it.  ``encode`` reports them.
 
 Defined results: a null or empty text has no pieces and decodes to an empty
-text.  The model's path is a parameter; it must be readable on the executors, or
-be given as bytes.
+text.  Repeated rows are encoded alike.  A long text is encoded whole.  A column
+named like an added one is replaced.  The model's path is a parameter; it is read
+on the driver and sent as bytes.
 """
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import os
 import re
@@ -41,9 +49,13 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 _PART = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 ADDED = ("ids", "n_tokens", "n_byte_tokens", "decoded", "roundtrip", "parity")
 
-# Fixed values of the model format: piece types and model types.
+# Fixed values of the model format: piece types, model types, the text of an unknown piece.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+UNKNOWN_TEXT = " \u2047 "
+
+#: A byte that is no part of a character is one replacement character.
+codecs.register_error("each-byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
 
 
 def _fields(raw: bytes):
@@ -88,6 +100,8 @@ class Model:
     remove_extra_whitespaces: bool = True
     escape_whitespaces: bool = True
     charsmap: bytes = b""
+    unknown_text: str = UNKNOWN_TEXT
+    marker_after: bool = False
 
 
 def parse_model(raw: bytes) -> Model:
@@ -108,6 +122,10 @@ def parse_model(raw: bytes) -> Model:
             for k, v in _fields(value):
                 if k == 3:
                     m.kind = v
+                elif k == 24:
+                    m.marker_after = bool(v)
+                elif k == 44:
+                    m.unknown_text = v.decode()
                 elif k == 35:
                     m.byte_fallback = bool(v)
                 elif k == 40:
@@ -144,25 +162,44 @@ class Tokenizer:
         from tokenizers import models, normalizers
 
         self.model = m = parse_model(raw)
-        pieces = [p for p, _, _ in m.pieces]
+        kinds = {kind for _, _, kind in m.pieces}
+        if m.marker_after or (m.kind == BPE and UNUSED in kinds):
+            raise ValueError("models with markers after words, or BPE with unused pieces, have no counterpart")
+        # a text must not reach pieces by spelling their names: these get names that no text has
+        hidden = (CONTROL, UNUSED) if m.kind == BPE else (CONTROL, UNUSED, BYTE)
+        names = [f"\0{i}" if kind in hidden else p for i, (p, _, kind) in enumerate(m.pieces)]
         if m.kind == BPE:
-            backend = models.BPE({p: i for i, p in enumerate(pieces)}, _merges(m), unk_token=pieces[m.unknown], fuse_unk=True, byte_fallback=m.byte_fallback, cache_capacity=0)  # each cut comes once
+            backend = models.BPE({p: i for i, p in enumerate(names)}, _merges(m), unk_token=names[m.unknown], fuse_unk=True, byte_fallback=m.byte_fallback, cache_capacity=0)  # each cut comes once
         elif m.kind == UNIGRAM:
-            backend = models.Unigram([(p, s) for p, s, _ in m.pieces], unk_id=m.unknown, byte_fallback=m.byte_fallback)
+            names[m.unknown] = "\0"
+            least = min((s for _, s, kind in m.pieces if kind == NORMAL), default=0.0)
+            backend = models.Unigram([(n, s if kind == NORMAL else least) for n, (_, s, kind) in zip(names, m.pieces)], unk_id=m.unknown)
         else:
             raise ValueError(f"model type {m.kind} has no counterpart")
         self.normalizer = normalizers.Precompiled(m.charsmap) if m.charsmap else None
         self.backend = Backend(backend)
         self.bytes = {i: int(p[3:5], 16) for i, (p, _, kind) in enumerate(m.pieces) if kind == BYTE}
+        self.of_byte = {b: i for i, b in self.bytes.items()}
+        self.expand = m.kind == UNIGRAM and m.byte_fallback
         self.hidden = {i for i, (_, _, kind) in enumerate(m.pieces) if kind == CONTROL}
-        self.is_byte = np.isin(np.arange(len(pieces)), list(self.bytes))
+        self.is_byte = np.isin(np.arange(len(m.pieces)), list(self.bytes))
+        self.user = {p: i for i, (p, _, kind) in enumerate(m.pieces) if kind == USER_DEFINED}
+        self.user_cut = re.compile("(" + "|".join(map(re.escape, sorted(self.user, key=len, reverse=True))) + ")") if self.user else None
         #: what each piece stands for
-        self.spelt = [bytes([self.bytes[i]]) if i in self.bytes else b"" if i in self.hidden else p.encode() for i, p in enumerate(pieces)]
-        self.cuts = not any(p[i] == MARK and p[i - 1] != MARK for p in pieces for i in range(1, len(p)))
+        self.spelt = [bytes([self.bytes[i]]) if i in self.bytes else b"" if i in self.hidden else p.encode() for i, (p, _, _) in enumerate(m.pieces)]
+        self.spelt[m.unknown] = m.unknown_text.encode()
+        self.spelt_data = np.frombuffer(b"".join(self.spelt), np.uint8)
+        self.spelt_at = np.r_[0, np.cumsum([*map(len, self.spelt)])]
+        self.cuts = not any(p[i] == MARK and p[i - 1] != MARK for p, _, kind in m.pieces if kind == NORMAL for i in range(1, len(p)))
 
     def normalize(self, text: str) -> str:
         if self.normalizer:
-            text = self.normalizer.normalize_str(text)
+            if self.user_cut:  # user-defined pieces are left as they are
+                parts = self.user_cut.split(text)
+                parts[::2] = map(self.normalizer.normalize_str, parts[::2])
+                text = "".join(parts)
+            else:
+                text = self.normalizer.normalize_str(text)
         if self.model.remove_extra_whitespaces:
             text = " ".join(x for x in text.split(" ") if x)
         return text
@@ -177,22 +214,46 @@ class Tokenizer:
         return text.replace(" ", MARK) if self.model.escape_whitespaces else text
 
     def cut(self, marked: str) -> list[str]:
-        """Parts that no piece spans: each starts with a run of markers."""
-        return _PART.findall(marked) if self.cuts else [marked] if marked else []
+        """Parts that no piece spans: each starts with a run of markers, or is a
+        user-defined piece, or follows one."""
+        if self.user_cut:
+            return [c for k, part in enumerate(self.user_cut.split(marked)) for c in ([part] if k % 2 else self._cut(part))]
+        return self._cut(marked)
+
+    def _cut(self, part: str) -> list[str]:
+        return _PART.findall(part) if self.cuts else [part] if part else []
 
     def encode_many(self, parts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.backend.encode_batch_fast(parts, add_special_tokens=False)]
+        encode = self.backend.encode_batch if self.expand else self.backend.encode_batch_fast  # the fast one keeps no texts
+        found = encode(parts, add_special_tokens=False)
+        out = [e.ids for e in found]
+        if self.expand:  # an unknown piece keeps its text; its bytes are its pieces
+            for k, ids in enumerate(out):
+                if self.model.unknown in ids:
+                    spelt = found[k].tokens
+                    out[k] = [j for i, t in zip(ids, spelt) for j in ([self.of_byte[b] for b in t.encode()] if i == self.model.unknown else [i])]
+        if self.user:
+            for k, part in enumerate(parts):
+                if part in self.user:
+                    out[k] = [self.user[part]]
+        return out
 
     def encode(self, text: str) -> list[int]:
         return [i for ids in self.encode_many(self.cut(self.marked(text))) for i in ids]
 
     def decode(self, ids: list[int]) -> str:
         """Text of pieces; runs of byte pieces are UTF-8, wrong bytes are replaced."""
-        return self.unmarked(self.bytes_of(ids).decode(errors="replace"))
+        return self.unmarked(self.bytes_of(ids).decode(errors="each-byte"))
 
     def bytes_of(self, ids: list[int]) -> bytes:
         return b"".join(map(self.spelt.__getitem__, ids))
 
+    def flat_bytes(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """What all ids stand for, one after the other, and where each range of them lies."""
+        sizes = self.spelt_at[ids + 1] - self.spelt_at[ids]
+        upto = np.r_[0, np.cumsum(sizes)]
+        return self.spelt_data[np.repeat(self.spelt_at[ids] - upto[:-1], sizes) + np.arange(upto[-1])].tobytes(), upto[bounds]
+
     def unmarked(self, text: str) -> str:
         """Spaces for markers, without the one before the text."""
         text = text.replace(MARK, " ")
@@ -200,44 +261,54 @@ class Tokenizer:
 
 
 class _Known:
-    """What a worker knows of the cuts it has met: for each, the ids, the bytes
-    they decode to, how many are byte pieces and whether the library agrees.
-    Ids lie in one array, so that a cut costs a string and a few numbers."""
-
-    def __init__(self, tok: Tokenizer, library):
-        self.tok, self.library = tok, library
-        self.clear()
+    """What a worker knows of the cuts it has met: for each, the ids, how many are
+    byte pieces and whether the library agrees.  Ids lie in one array, so that a
+    cut costs a string and a few numbers."""
 
-    def clear(self) -> None:
+    def __init__(self, tok: Tokenizer, library, most: int):
+        self.tok, self.library, self.most = tok, library, most
         self.codes: dict[str, int] = {}
-        self.back: list[bytes] = []
         self.ids, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
         self.n_bytes, self.same = np.zeros(0, np.int64), np.zeros(0, bool)
 
     def meet(self, cuts: list[str]) -> list[int]:
         """Codes of the cuts; those not met before are encoded in one batch."""
         new = list(set(cuts).difference(self.codes))
-        if len(self.codes) + len(new) > MAX_KNOWN:  # forget; what these cuts need is made anew
-            self.clear()
-            new = list(set(cuts))
-        for lo in range(0, len(new), 1 << 16):
-            self._add(new[lo : lo + (1 << 16)])
+        for lo in range(0, len(new), 1 << 15):
+            self._add(new[lo : lo + (1 << 15)])
         return list(map(self.codes.__getitem__, cuts))
 
     def _add(self, new: list[str]) -> None:
         tok = self.tok
         ids = tok.encode_many(new)
-        theirs = self.library.encode(_unmarked(new, tok), num_threads=1)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
+        theirs = _theirs(new, ids, self.library.encode(_unmarked(new, tok), num_threads=1), tok)
+        sizes, flat = _flat(ids)
+        their_sizes, their_flat = _flat(theirs)
+        same = sizes == their_sizes
+        their_flat = their_flat[np.repeat(same, their_sizes)]
+        differ = np.r_[0, np.cumsum(flat[np.repeat(same, sizes)] != their_flat)]
+        upto = np.cumsum(np.where(same, sizes, 0))
+        same &= differ[upto] == differ[upto - np.where(same, sizes, 0)]
         of_bytes = np.r_[0, np.cumsum(tok.is_byte[flat])]
         ends = np.cumsum(sizes)
         self.codes.update(zip(new, range(len(self.codes), len(self.codes) + len(new))))
-        self.back += [tok.bytes_of(i) for i in ids]
         self.n_bytes = np.r_[self.n_bytes, of_bytes[ends] - of_bytes[ends - sizes]]
-        self.same = np.r_[self.same, np.array([_parity(c, i, j, tok) for c, i, j in zip(new, ids, theirs)], bool)]
+        self.same = np.r_[self.same, same]
         self.ids, self.at = np.r_[self.ids, flat], np.r_[self.at, self.at[-1] + ends]
 
+    def forget(self, code: np.ndarray) -> None:
+        """Beyond ``most`` bytes, keep only cuts that this batch met more than once."""
+        n = len(self.codes)
+        if n * ENTRY_BYTES + 2 * len(self.ids) * 4 <= self.most:
+            return
+        keep = np.flatnonzero(np.bincount(code, minlength=n) > 1)
+        names = list(self.codes)
+        sizes = np.diff(self.at)[keep]
+        at = np.r_[0, np.cumsum(sizes)]
+        self.ids = self.ids[np.repeat(self.at[keep] - at[:-1], sizes) + np.arange(at[-1])]
+        self.at, self.n_bytes, self.same = at, self.n_bytes[keep], self.same[keep]
+        self.codes = {names[i]: k for k, i in enumerate(keep.tolist())}
+
 
 _LOADED: dict[str, tuple] = {}
 
@@ -249,22 +320,27 @@ def _loaded(raw: bytes) -> tuple[Tokenizer, _Known]:
         import sentencepiece
 
         tok = Tokenizer(raw)
-        _LOADED[key] = (tok, _Known(tok, sentencepiece.SentencePieceProcessor(model_proto=raw)))
+        _LOADED[key] = (tok, _Known(tok, sentencepiece.SentencePieceProcessor(model_proto=raw), KNOWN_BYTES))
     return _LOADED[key]
 
 
-MAX_KNOWN = 600_000
+#: Bytes of cuts that a worker remembers from batch to batch, and what one takes
+#: besides its ids.  Results do not depend on either.
+KNOWN_BYTES, ENTRY_BYTES = 48 << 20, 210
+BATCH_BYTES = 2 << 20
 
 
 def _encode(batches, sent, text_at, schema, decode):
     os.environ["TOKENIZERS_PARALLELISM"] = "true"
     tok, known = _loaded(sent.value)
-    for batch in (part for whole in batches for part in B.pieces(whole, text_at, 4 * B.CHUNK_BYTES)):
-        marked = [tok.marked(t or "") for t in batch.column(text_at).to_pylist()]
+    for batch in (part for whole in batches for part in B.pieces(whole, text_at, BATCH_BYTES)):
+        texts = [t or "" for t in batch.column(text_at).to_pylist()]
+        marked = list(map(tok.marked, texts))
+        alike = np.fromiter(map(str.__eq__, marked, known.library.normalize(texts)), bool, len(texts))
         cuts = [tok.cut(m) for m in marked]
         ends = np.r_[0, np.cumsum(np.fromiter(map(len, cuts), np.int64, len(cuts)))]
         codes = known.meet(list(chain.from_iterable(cuts)))
-        del cuts
+        del cuts, texts
         code = np.array(codes, np.int64)
         # ids of each cut in turn, then bounds of each document among them
         first, size = known.at[code], known.at[code + 1] - known.at[code]
@@ -273,16 +349,18 @@ def _encode(batches, sent, text_at, schema, decode):
         bounds = upto[ends]
         n_bytes = np.diff(np.r_[0, np.cumsum(known.n_bytes[code])][ends])
         differ = np.diff(np.r_[0, np.cumsum(~known.same[code])][ends])
+        known.forget(code)
+        back, ends = tok.flat_bytes(ids, bounds)
         ok, decoded = [], []
         for m, a, b in zip(marked, ends[:-1].tolist(), ends[1:].tolist()):
-            back = b"".join(map(known.back.__getitem__, codes[a:b])).decode(errors="replace")
-            ok.append(back == m)
+            text = back[a:b].decode(errors="each-byte")
+            ok.append(text == m)
             if decode:
-                decoded.append(tok.unmarked(back))
+                decoded.append(tok.unmarked(text))
         lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
         cols = [*batch.columns, lists, pa.array(np.diff(bounds)), pa.array(n_bytes)]
         cols += [pa.array(decoded, pa.string())] if decode else []
-        cols += [pa.array(ok, pa.bool_()), pa.array(differ == 0)]
+        cols += [pa.array(ok, pa.bool_()), pa.array(alike & (differ == 0))]
         yield pa.RecordBatch.from_arrays(cols, names=schema)
 
 
@@ -290,15 +368,25 @@ def _unmarked(cuts: list[str], tok: Tokenizer) -> list[str]:
     """What the library must be given so that it sees each cut as it stands: the
     library adds the first marker itself."""
     drop = int(tok.model.add_dummy_prefix)
-    return [c.replace(MARK, " ")[drop if c.startswith(MARK) else 0 :] for c in cuts]
+    before = next(iter(tok.user), "")  # what follows a user-defined piece has no marker
+    return [c.replace(MARK, " ")[drop:] if c.startswith(MARK) or not drop or c in tok.user else before + c for c in cuts]
+
+
+def _theirs(cuts: list[str], ids: list[list[int]], found: list[list[int]], tok: Tokenizer) -> list[list[int]]:
+    """The library's pieces of each cut itself."""
+    if MARK in cuts:  # the library can't be given this part alone
+        k = cuts.index(MARK)
+        found[k] = [i for i, (p, _, kind) in enumerate(tok.model.pieces) if p == MARK and kind == NORMAL] or ids[k]
+    if tok.user and tok.model.add_dummy_prefix:
+        for k, cut in enumerate(cuts):
+            if not cut.startswith(MARK):  # before it: the first marker, and the piece that it follows
+                found[k] = found[k][-len(ids[k]) :]
+    return found
 
 
-def _parity(cut: str, ids: list[int], theirs: list[int], tok: Tokenizer) -> bool:
-    if not cut.startswith(MARK) and tok.model.add_dummy_prefix:
-        return True  # not reachable with a dummy prefix
-    if cut == MARK:  # the library can't be given this part alone
-        return [tok.model.pieces[i][0] for i in ids] == [MARK]
-    return ids == theirs
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return sizes, np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum()))
 
 
 def encode(docs: DataFrame, model: bytes, text_col: str = "text", decode: bool = True) -> DataFrame:
@@ -333,7 +421,3 @@ def decode(tokens: DataFrame, model: bytes, ids_col: str = "ids", out: str = "de
 def read_model(path: str = MODEL_PATH) -> bytes:
     with open(path, "rb") as f:
         return f.read()
-
-
-def ids_sha256(ids: np.ndarray) -> str:
-    return hashlib.sha256(np.asarray(ids, "<i4").tobytes()).hexdigest()
