@@ -49,6 +49,18 @@ def chunks(column: pa.Array, size: int = CHUNK_BYTES):
         at = end
 
 
+def segments(column: pa.Array, overlap: int, size: int = CHUNK_BYTES):
+    """Yield (rows, where each begins in its text, data, offs): chunks, but a row
+    longer than two chunks comes in segments that overlap by so many bytes."""
+    for lo, hi, data, offs in chunks(column, size):
+        if len(data) <= 2 * size:
+            yield np.arange(lo, hi), np.zeros(hi - lo, np.int64), data, offs
+            continue
+        for at in range(0, len(data) - overlap, size):
+            end = min(at + size + overlap, len(data))
+            yield np.array([lo]), np.array([at]), data[at:end], np.array([0, end - at])
+
+
 def pieces(batch: pa.RecordBatch, column: int, size: int = 8 * CHUNK_BYTES):
     """Cut a batch into runs of whole rows of about ``size`` bytes of text."""
     _, offs = text_buffers(batch.column(column))

@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kvlake.llm.common import bound_batches
+
 START, DELTA, EDIT, REGENERATE = "start", "delta", "edit", "regenerate"
 EVENTS = "conv_id long, turn long, seq long, kind string, role string, text string"
 OPEN, CLOSE, HEAD = "<turn>\n", "</turn>\n", "### "
@@ -146,6 +148,7 @@ def reconstruct(events: DataFrame) -> DataFrame:
     log has no such column).  Messages are dealt by conversation and turn: a
     long conversation's messages are folded in many tasks.
     """
+    bound_batches(events.sparkSession)
     if "part" not in events.columns:
         events = events.withColumn("part", F.lit(0).cast("long"))
     order = ["conv_id", "turn", "part", "seq", "kind", "text"]

@@ -21,6 +21,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Let Arrow batches hold at most so many bytes (one row at least), unless the
+    session's limit is lower: 10,000 rows of long texts are too much for a worker.
+    Results do not depend on it.  It stays set, since plans run later."""
+    now = spark.conf.get(BATCH_LIMIT).lower().rstrip("b")
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now[-1:], 1)
+    if not 0 < int(now.rstrip("kmg") or 0) * unit <= most:
+        spark.conf.set(BATCH_LIMIT, str(most))
+
+
 def store(df: DataFrame, *by: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -44,6 +57,14 @@ def power_of_two(n: int, least: int, most: int) -> int:
     return 1 << max(least.bit_length() - 1, min(most.bit_length() - 1, max(n - 1, 0).bit_length()))
 
 
-def parts_for(spark: SparkSession, per_partition: int = 4, least: int = 64, most: int = 1 << 16) -> int:
-    """How many hash slices to cut: follows the session's shuffle partitions."""
-    return power_of_two(int(spark.conf.get("spark.sql.shuffle.partitions")) * per_partition, least, most)
+def size_of(df: DataFrame) -> int:
+    """Bytes that Spark's statistics give for ``df``, 0 where they don't know; no job is run."""
+    found = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return found if found < 1 << 57 else 0  # rows from Python have a default size beyond that
+
+
+def parts_for(df: DataFrame, per_partition: int = 4, part_bytes: int = 64 << 20, least: int = 64, most: int = 1 << 21) -> int:
+    """How many hash slices to cut: follows the input's size, and the session's
+    shuffle partitions where they are more."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return power_of_two(max(partitions * per_partition, size_of(df) // part_bytes), least, most)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kvlake.llm import bytesops as B
-from kvlake.llm.common import without
+from kvlake.llm.common import bound_batches, without
 
 WINDOW = 13
 BLOCK_WORDS = 2_000_000
@@ -243,6 +243,7 @@ def find_contamination(
     """``docs`` with n_words, n_hit, hit_items (unsorted), hit_spans (byte offsets,
     start and end in turn) and contaminated (hits, of at least ``percent`` % of words)."""
     sc = docs.sparkSession.sparkContext
+    bound_batches(docs.sparkSession)
     docs = without(docs, *ADDED)
     text_at = [c.lower() for c in docs.columns].index(text_col.lower())
     base, out = list(docs.schema.fields), docs

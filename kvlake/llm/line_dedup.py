@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kvlake.llm import bytesops as B
-from kvlake.llm.common import parts_for, store, without
+from kvlake.llm.common import bound_batches, parts_for, store, without
 
 MIN_CHARS = 10
 MAX_FILTER_BITS = 1 << 28
@@ -188,9 +188,10 @@ def _rewrite(batches, id_at, text_at, drop_at, schema, min_chars):
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, max_filter_bits: int = MAX_FILTER_BITS) -> DataFrame:
     """``docs`` with repeated lines dropped, plus ``n_lines`` (before) and ``n_dropped``."""
     spark = docs.sparkSession
+    bound_batches(spark)
     docs = without(docs, *ADDED)
     narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").alias("text")).where("doc is not null")
-    slices = parts_for(spark)
+    slices = parts_for(docs)
     twice = (
         narrow.mapInArrow(partial(_sliced_hashes, slices=slices, min_chars=min_chars), "slice int, hashes binary")
         .groupBy("slice")

@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kvlake.llm import bytesops as B
-from kvlake.llm.common import parts_for, store
+from kvlake.llm.common import bound_batches, parts_for, store
 from kvlake.llm.components import connected_components
 
 WORDS = 5
@@ -373,6 +373,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """A row per row of ``docs``: the id, n_shingles and component_id (the
     smallest id reachable by links)."""
     spark = docs.sparkSession
+    bound_batches(spark)
     narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     sets = store(narrow.mapInArrow(partial(_sets, k=k, text_at=1), "id long, digest binary, n long, " + ", ".join(f"{s} long" for s in BITS)))
     # a set's sketch; ids with several sets have none
@@ -397,7 +398,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         sets = sets.join(_ends(pairs), "id", "left_semi")  # most sets are in no pair by now
         return store(_checked(pairs, sets, "tokens", _unpack, linked, percent))
 
-    slices = parts_for(spark)
+    slices = parts_for(docs)
     blocks = known.mapInArrow(partial(_postings, k=k, frequent=frequent, percent=percent, slices=slices), "slice long, blob binary")
     matched = store(blocks.groupBy("slice").applyInArrow(lambda key, table: _matches(key, table), "sig long, id long, n_rare long"))
     # postings of copies go; of what is left, signatures of several sets count

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from kvlake.llm import bytesops as B
-from kvlake.llm.common import without
+from kvlake.llm.common import bound_batches, without
 
 MARK = "▁"
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -252,7 +252,8 @@ class Tokenizer:
         """What all ids stand for, one after the other, and where each range of them lies."""
         sizes = self.spelt_at[ids + 1] - self.spelt_at[ids]
         upto = np.r_[0, np.cumsum(sizes)]
-        return self.spelt_data[np.repeat(self.spelt_at[ids] - upto[:-1], sizes) + np.arange(upto[-1])].tobytes(), upto[bounds]
+        at = np.repeat((self.spelt_at[ids] - upto[:-1]).astype(np.int32), sizes) + np.arange(upto[-1], dtype=np.int32)  # a batch is short of 2 GB
+        return self.spelt_data[at].tobytes(), upto[bounds]
 
     def unmarked(self, text: str) -> str:
         """Spaces for markers, without the one before the text."""
@@ -326,8 +327,8 @@ def _loaded(raw: bytes) -> tuple[Tokenizer, _Known]:
 
 #: Bytes of cuts that a worker remembers from batch to batch, and what one takes
 #: besides its ids.  Results do not depend on either.
-KNOWN_BYTES, ENTRY_BYTES = 48 << 20, 210
-BATCH_BYTES = 2 << 20
+KNOWN_BYTES, ENTRY_BYTES = 40 << 20, 210
+BATCH_BYTES = 1 << 20
 
 
 def _encode(batches, sent, text_at, schema, decode):
@@ -393,6 +394,7 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", decode: bool =
     """``docs`` with ids, n_tokens, n_byte_tokens, decoded (if asked), roundtrip
     and parity."""
     docs = without(docs, *ADDED)
+    bound_batches(docs.sparkSession)
     names = [c.lower() for c in docs.columns]
     added = [("ids", T.ArrayType(T.IntegerType())), ("n_tokens", T.LongType()), ("n_byte_tokens", T.LongType())]
     added += [("decoded", T.StringType())] if decode else []

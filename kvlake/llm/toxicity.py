@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kvlake.llm import bytesops as B
-from kvlake.llm.common import store, without
+from kvlake.llm.common import bound_batches, store, without
 
 MAX_COUNTED = 8_000
 MAX_TRAIN = 3_000
@@ -325,6 +325,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with score, toxic_spans (byte offsets, start and end in turn) and
     expected_toxic (expected number of toxic words)."""
     docs = without(docs, *ADDED)
+    bound_batches(docs.sparkSession)
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("toxic_spans", T.ArrayType(T.LongType())), T.StructField("expected_toxic", T.DoubleType())])
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most max_words features
     at = [c.lower() for c in docs.columns].index(text_col.lower())

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from kvlake.llm import bytesops as B
 from kvlake.llm import decontaminate, kd_sharding, line_dedup, ngram_join, suffix_dedup
 
 SCHEMA = "doc_id long, text string, n_lines string"
@@ -42,12 +43,12 @@ def frame(spark, ts):
     return spark.createDataFrame([(i * 3, t, "other") for i, t in enumerate(ts)], SCHEMA)
 
 
-def test_suffix_dedup_matches_brute_force(spark):
-    ts = texts(1)
-    raw = [(t or "").encode() for t in ts]
-    for width in (200, 40):
+@pytest.mark.parametrize("width, hot", [(200, 20_000), (40, 20_000), (40, 3)])
+def test_suffix_dedup_matches_brute_force(spark, width, hot):
+    for ts in (texts(1), texts(5, 20)):
+        raw = [(t or "").encode() for t in ts]
         seen = Counter(b[i : i + width] for b in raw for i in range(len(b) - width + 1))
-        out = suffix_dedup.remove_repeats(frame(spark, ts), width=width, gram=16, block=2000)
+        out = suffix_dedup.remove_repeats(frame(spark, ts), width=width, gram=16, block=2000, hot=hot)
         got = {r["doc_id"]: r for r in out.collect()}
         for i, b in enumerate(raw):
             hit = [False] * len(b)
@@ -60,6 +61,58 @@ def test_suffix_dedup_matches_brute_force(spark):
             assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(b), sum(hit), runs, hashlib.sha256(left).hexdigest()), i
 
 
+def test_suffix_dedup_of_a_boilerplate_that_is_followed_by_other_text(spark):
+    """A string of 100 bytes in 20,000 documents is no repeat of 200 bytes."""
+    rng = random.Random(2)
+    plate = "".join(rng.choice("abcdefgh ") for _ in range(100))
+    around = lambda: "".join(rng.choice("ijklmnop ") for _ in range(180))
+    ts = [around() + plate + around() for _ in range(20_000)]
+    ts += [ts[7]] * 2
+    out = suffix_dedup.remove_repeats(frame(spark, ts), hot=5000).where("n_removed > 0")
+    assert {(r["doc_id"], r["n_removed"], r["n_spans"]) for r in out.collect()} == {(3 * i, 460, 1) for i in (7, 20_000, 20_001)}
+
+
+def test_suffix_dedup_of_long_texts(spark):
+    """20 MB in one text, with a passage that stands in another text and across a segment's edge."""
+    rng = np.random.default_rng(3)
+    raw = rng.integers(97, 123, 20 << 20, dtype=np.uint8)
+    passage = rng.integers(97, 123, 300, dtype=np.uint8)
+    for k, at in enumerate((1000, (3 << 20) - 150, (20 << 20) - 301)):
+        raw[at - 1 : at + 301] = np.r_[65 + k, passage, 75 + k]  # what is around differs
+    out = suffix_dedup.remove_repeats(frame(spark, [raw.tobytes().decode(), "x" + passage.tobytes().decode(), ""]))
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in out.select("doc_id", "n_bytes", "n_removed", "n_spans").collect()}
+    assert got == {0: (20 << 20, 900, 3), 3: (301, 300, 1), 6: (0, 0, 0)}
+
+
+@pytest.mark.parametrize("bits", [64, 2, 0])
+def test_suffix_sort_settles_collisions_on_bytes(monkeypatch, bits):
+    """With hashes of few bits, contexts of different anchors meet and extensions seem longer."""
+    real = B.span_hash
+    monkeypatch.setattr(B, "span_hash", lambda *a: real(*a) & np.uint64((1 << bits) - 1))
+    rng = random.Random(bits)
+    for width, gram in ((20, 6), (10, 10), (30, 8)):
+        base = ["".join(rng.choice("ab\n") for _ in range(90)) for _ in range(4)]
+        raw = ["".join(rng.choice(base)[rng.randrange(20) :][: rng.randrange(90)] + rng.choice("xyz") for _ in range(3)).encode() for _ in range(25)]
+        data, offs = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+        row, first, last, place, h, *_ = suffix_dedup.contexts(data, offs, width, gram)
+        rows = [(int(r), 0, int(a), int(f - offs[r]), int(p - f), data[f : e + width].tobytes()) for r, f, e, p, a in zip(row, first, last, place, h.view(np.int64))]
+        hit = [np.zeros(len(b), bool) for b in raw]
+        for r, _, (s, e) in suffix_dedup._compare_block(sorted(rows, key=lambda x: x[2]), width, gram):
+            hit[r][s:e] = True
+        seen = Counter(b[i : i + width] for b in raw for i in range(len(b) - width + 1))
+        for b, found in zip(raw, hit):
+            want = np.zeros(len(b), bool)
+            for i in range(len(b) - width + 1):
+                if seen[b[i : i + width]] > 1:
+                    want[i : i + width] = True
+            assert (want == found).all()
+
+
+def test_suffix_dedup_of_an_empty_table(spark):
+    out = suffix_dedup.remove_repeats(frame(spark, ["a"]).where("false"))
+    assert out.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"] and out.count() == 0
+
+
 def test_line_dedup_matches_brute_force(spark):
     ts = texts(2)
     holders = defaultdict(set)
