@@ -84,11 +84,13 @@ def mix(h: np.ndarray) -> np.ndarray:
 def _powers(root: int, n: int) -> np.ndarray:
     have = _POWERS.get(root)
     if have is None or len(have) < n:
-        size = max(n, CHUNK_BYTES + 2)
+        size = 1 << max(n, CHUNK_BYTES + 2).bit_length()
+        if size > 16 * CHUNK_BYTES:  # a very long text: don't keep its table
+            size = n
         have = np.full(size, root & (2**64 - 1), _U)
         have[0] = 1
-        have = np.cumprod(have, dtype=_U)
-        if size > 4 * CHUNK_BYTES:  # a very long text: don't keep its table
+        np.cumprod(have, dtype=_U, out=have)
+        if size > 16 * CHUNK_BYTES:
             return have
         _POWERS[root] = have
     return have[:n]

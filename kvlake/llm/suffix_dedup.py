@@ -46,7 +46,7 @@ from kvlake.llm.common import bound_batches, parts_for, store
 
 WIDTH = 200
 GRAM = 64
-BLOCK = 1 << 22  # bytes of contexts sorted at once
+BLOCK = 1 << 21  # bytes of contexts sorted at once
 HOT = 20_000  # contexts
 _U = np.uint64
 _PLACE_BITS = 26  # places within a segment, which is shorter
