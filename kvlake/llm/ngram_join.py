@@ -22,19 +22,24 @@ signature and chains its own repeats to it, so a hot signature is no one
 slice's load.
 
 *Verify.*  Equal sets are one set from the start: they are one class, whatever
-its size.  Of a signature's sets, each is first held against one pivot; then
+its size.  Of a signature's sets, each is first held against one pivot, the one
+with the least share of tokens that no other set has; then
 components are formed, and only signatures whose sets are still in different
 components are looked at again, with a new pivot, until none is left.  Pairs
 within a component can't change it, so no link that matters is lost and a group
-of m copies costs about m pairs instead of m * m.  A pair is held against sketches
-of fixed size, then against short forms of about a byte a token, which never lose
-a link, and only what they leave is settled by the sets themselves.
+of m copies costs about m pairs instead of m * m.  Two sets that share many open
+signatures meet at the smallest: a posting carries the ``BEFORE`` open signatures
+of its set before it, and a pair that shares one of those is left to it.  A pair
+is held against sketches of fixed size, then against short forms of about a byte a
+token, which never lose a link, and only what they leave is settled by the sets
+themselves.
 
 Defined results: with fewer words than a shingle the whole sequence is the one
 token; a null or empty text, or one without words, has an empty set and is
 linked with nothing.  A null doc_id takes no part and is its own (null) class.
 Rows of one doc_id are one document with several texts; its class is that of
-all of them.
+all of them.  Ids are integers.  A very long text is one set.  Words of more than
+``LONG_WORD`` bytes are told apart by a digest, others by a polynomial hash.
 """
 
 from __future__ import annotations
@@ -56,7 +61,9 @@ PERCENT = 75
 MAX_FREQUENT = 1 << 16
 FREQUENT_SHARE = 1 / 200  # of a batch's documents
 _U = np.uint64
-MAX_BROADCAST = 500_000  # ids
+MAX_BROADCAST = 500_000  # ids, 4 MB
+BEFORE = 8
+LONG_WORD = 64
 SKETCH = 16  # longs
 BITS = [f"s{i}" for i in range(SKETCH)]
 CHAINED, COUNTS = -1, -(1 << 40)  # kinds of blocks beside the slices
@@ -68,6 +75,9 @@ def shingle_hashes(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarr
     if not len(start):
         return np.zeros(0, _U), np.zeros(len(offs), np.int64)
     h = B.span_hash(B.prefix_hash(data, B.VALUES_LOWER), start, end)
+    for i in np.flatnonzero(end - start > LONG_WORD).tolist():  # long words can be made to collide
+        word = data[start[i] : end[i]].tobytes().lower()
+        h[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
     first = np.cumsum(per_row) - per_row
     tokens = np.maximum(per_row - k + 1, (per_row > 0).astype(np.int64))
     row = np.repeat(np.arange(len(per_row)), tokens)
@@ -87,23 +97,24 @@ def shingle_hashes(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarr
 
 
 def _sets(batches, k, text_at):
-    """(id, digest of the set, size, sketch) of each row.
+    """(id, digest of the set, size, short form, sketch) of each row.
 
     The sketch sets one of 1024 bits for each token.  Bits that one set has and
     the other lacks are tokens it does not share: a bound without false negatives."""
     for batch in batches:
-        sizes, digests, sketches = [], [], []
+        sizes, digests, shorts, sketches = [], [], [], []
         for lo, hi, data, offs in B.chunks(batch.column(text_at)):
             h, at = shingle_hashes(data, offs, k)
             sizes.append(np.diff(at))
             digests += [hashlib.blake2b(h[a:b], digest_size=16).digest() for a, b in zip(at[:-1], at[1:])]
+            shorts += [shorten(h[a:b]) for a, b in zip(at[:-1], at[1:])]
             bits = np.zeros((hi - lo, SKETCH * 64), np.uint8)
             bits[np.repeat(np.arange(hi - lo), np.diff(at)), (h >> _U(20)).astype(np.int64) % (SKETCH * 64)] = 1
             sketches.append(np.packbits(bits, axis=1).view(np.int64))
         n = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
         s = np.concatenate(sketches) if sketches else np.zeros((0, SKETCH), np.int64)
-        cols = [batch.column(0), pa.array(digests, pa.binary()), pa.array(n, pa.int64()), *[pa.array(np.ascontiguousarray(s[:, i])) for i in range(SKETCH)]]
-        yield pa.RecordBatch.from_arrays(cols, names=["id", "digest", "n", *BITS])
+        cols = [batch.column(0), pa.array(digests, pa.binary()), pa.array(n, pa.int64()), pa.array(shorts, pa.binary()), *[pa.array(np.ascontiguousarray(s[:, i])) for i in range(SKETCH)]]
+        yield pa.RecordBatch.from_arrays(cols, names=["id", "digest", "n", "short", *BITS])
 
 
 def _common_tokens(batches, k, share, least):
@@ -264,14 +275,13 @@ def lengthen(short: bytes | pa.Buffer) -> tuple[np.ndarray, int]:
 
 
 def _packed_sets(batches, k):
-    """(id, tokens as bytes, their short form) of each row."""
+    """(id, tokens as bytes) of each row."""
     for batch in batches:
-        blobs, shorts = [], []
-        for lo, hi, data, offs in B.chunks(batch.column(1)):
+        blobs = []
+        for _, _, data, offs in B.chunks(batch.column(1)):
             h, at = shingle_hashes(data, offs, k)
             blobs += [h[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
-            shorts += [shorten(h[a:b]) for a, b in zip(at[:-1], at[1:])]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary()), pa.array(shorts, pa.binary())], names=["id", "tokens", "short"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], names=["id", "tokens"])
 
 
 def _unpack(tokens: pa.Buffer) -> np.ndarray:
@@ -331,14 +341,14 @@ def _sketch_allows(a: str, b: str, percent: int):
 
 
 def _candidates(open_: DataFrame, pivots: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs, pivot rows): each signature's ``pivots`` smallest ids against its
-    others of different components."""
-    rank = F.row_number().over(Window.partitionBy("sig").orderBy("id"))
+    """(pairs, pivot rows): each signature's ``pivots`` sets of the least share of
+    tokens that no other has, against its others of different components."""
+    rank = F.row_number().over(Window.partitionBy("sig").orderBy((F.col("hi") - F.col("most")) / F.col("hi"), "id"))
     heads = open_.withColumn("rank", rank).where(F.col("rank") <= pivots).drop("rank")
     differ = (F.col("m.sig") == F.col("p.sig")) & (F.col("m.id") != F.col("p.id")) & (F.col("m.component") != F.col("p.component"))
     may = _may_link("p", "m", percent)
-    if "s0" in open_.columns:
-        may = may & _sketch_allows("p", "m", percent)
+    if "before" in open_.columns:  # pairs that share an earlier signature meet there
+        may = may & ~F.arrays_overlap("m.before", "p.before")
     pairs = open_.alias("m").join(heads.alias("p"), differ & may)
     return pairs.select(F.least("p.id", "m.id").alias("pivot"), F.greatest("p.id", "m.id").alias("member")), heads.select("sig", "id")
 
@@ -359,14 +369,15 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 def _relabel(open_: DataFrame, label: DataFrame) -> DataFrame:
     """Postings with their components, of signatures that still have several."""
-    rows = open_.drop("component").join(label, "id")
-    columns = open_.columns
+    rows = open_.drop("component", "before").join(label, "id")
+    columns = rows.columns
     several = rows.groupBy("sig").agg(
         F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n"), *[F.sum(F.xxhash64(F.lit(i), "id").cast("decimal(20,0)")).alias(f"h{i}") for i in range(2)]
     ).where("a < b")
     # signatures of the same sets lead to the same pairs
     several = several.groupBy("n", "h0", "h1").agg(F.min("sig").alias("sig")).select("sig")
-    return rows.join(several, "sig", "left_semi").select(*columns)
+    before = F.collect_list("sig").over(Window.partitionBy("id").orderBy("sig").rowsBetween(-BEFORE, -1))
+    return rows.join(several, "sig", "left_semi").select(*columns, before.alias("before"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT, max_frequent: int = MAX_FREQUENT, share: float = FREQUENT_SHARE, least: int = 8) -> DataFrame:
@@ -375,7 +386,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     bound_batches(spark)
     narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    sets = store(narrow.mapInArrow(partial(_sets, k=k, text_at=1), "id long, digest binary, n long, " + ", ".join(f"{s} long" for s in BITS)))
+    sets = store(narrow.mapInArrow(partial(_sets, k=k, text_at=1), "id long, digest binary, n long, short binary, " + ", ".join(f"{s} long" for s in BITS)))
     # a set's sketch; ids with several sets have none
     one = F.min("digest") == F.max("digest")
     sketches = sets.where("id is not null and n > 0").groupBy("id").agg(*[F.when(one, F.max(c)).alias(c) for c in ("n", *BITS)])
@@ -393,10 +404,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         m, p = asked.alias("m"), asked.alias("p")
         both = pairs.join(m, F.col("member") == F.col("m.id")).join(p, (F.col("pivot") == F.col("p.id")) & _sketch_allows("p", "m", percent))
         pairs = store(both.select("pivot", "member"))
-        sets = store(known.join(_ends(pairs), "id", "left_semi").mapInArrow(partial(_packed_sets, k=k), "id long, tokens binary, short binary"))
-        pairs = store(_checked(pairs, sets, "short", lengthen, may_be_linked, percent))
-        sets = sets.join(_ends(pairs), "id", "left_semi")  # most sets are in no pair by now
-        return store(_checked(pairs, sets, "tokens", _unpack, linked, percent))
+        shorts = sets.where("id is not null").select("id", "short").join(_ends(pairs), "id", "left_semi")
+        pairs = store(_checked(pairs, shorts, "short", lengthen, may_be_linked, percent))
+        if pairs.isEmpty():
+            return pairs
+        tokens = store(known.join(_ends(pairs), "id", "left_semi").mapInArrow(partial(_packed_sets, k=k), "id long, tokens binary"))
+        return store(_checked(pairs, tokens, "tokens", _unpack, linked, percent))
 
     slices = parts_for(docs)
     blocks = known.mapInArrow(partial(_postings, k=k, frequent=frequent, percent=percent, slices=slices), "slice long, blob binary")
@@ -426,8 +439,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         label = store(connected_components(label, checked(store(pairs.distinct()))))
         # these pivots have met all others of their signatures
         open_ = store(_relabel(open_.join(heads, ["sig", "id"], "left_anti"), label))
-        if pivots == 16:  # the signatures left have many sets each
-            open_ = store(open_.join(sketches, "id"))
         pivots *= 16
     found = classes.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = sets.select("id", "digest", "n").join(found, "digest", "left")
