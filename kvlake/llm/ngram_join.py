@@ -347,6 +347,8 @@ def _candidates(open_: DataFrame, pivots: int, percent: int) -> tuple[DataFrame,
     heads = open_.withColumn("rank", rank).where(F.col("rank") <= pivots).drop("rank")
     differ = (F.col("m.sig") == F.col("p.sig")) & (F.col("m.id") != F.col("p.id")) & (F.col("m.component") != F.col("p.component"))
     may = _may_link("p", "m", percent)
+    if "s0" in open_.columns:
+        may = may & _sketch_allows("p", "m", percent)
     if "before" in open_.columns:  # pairs that share an earlier signature meet there
         may = may & ~F.arrays_overlap("m.before", "p.before")
     pairs = open_.alias("m").join(heads.alias("p"), differ & may)
@@ -361,10 +363,15 @@ def _checked(pairs: DataFrame, sets: DataFrame, form: str, unpack, test, percent
     return passed.distinct()
 
 
+def _few(ids: DataFrame) -> DataFrame:
+    """Ids, sent to all tasks if they are few; else rows are shuffled to them."""
+    ids = store(ids)
+    return F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
-    """The ids in pairs, sent to all tasks if they are few; else rows are shuffled to them."""
-    ends = store(pairs.select(F.col("pivot").alias("id")).unionByName(pairs.select(F.col("member").alias("id"))).distinct())
-    return F.broadcast(ends) if ends.count() <= MAX_BROADCAST else ends
+    """The ids in pairs."""
+    return _few(pairs.select(F.col("pivot").alias("id")).unionByName(pairs.select(F.col("member").alias("id"))).distinct())
 
 
 def _relabel(open_: DataFrame, label: DataFrame) -> DataFrame:
@@ -435,6 +442,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     label = store(connected_components(label, done))
     open_, pivots = store(_relabel(open_, label)), 16
     while not open_.isEmpty():
+        if pivots > 16 and "s0" not in open_.columns:  # the signatures left have many sets each
+            open_ = store(open_.join(sketches, "id"))
         pairs, heads = _candidates(open_, pivots, percent)
         label = store(connected_components(label, checked(store(pairs.distinct()))))
         # these pivots have met all others of their signatures
