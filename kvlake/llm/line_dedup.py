@@ -7,14 +7,18 @@
 2. Only lines that the twice filter suspects shuffle: a 16-byte digest and the
    document.  An aggregate with map-side combine confirms exactly which keys
    are in two documents and which document is first.
-3. The digests to drop go back to their documents, which are rewritten.
+3. The digests to drop go back to their documents, which are rewritten.  Documents
+   without a suspected line pass by; their texts do not shuffle.
 
-A full filter only means more suspects, never another result.
+A full filter only means more suspects, never another result.  A line that very
+many documents hold is reduced to its first document before the shuffle, and
+Spark may split the join that takes this back to them.
 
 Defined results: a null or empty text is one empty line.  Rows of one doc_id
 count as one document and each keeps or loses its lines alike.  A row with a
-null doc_id takes no part and stays as it is.  Other columns pass through; one
-named like an added column is replaced.
+null doc_id takes no part and stays as it is.  A very long text is one row and
+is rewritten whole.  Other columns pass through; one named like an added column
+is replaced.
 """
 
 from __future__ import annotations
@@ -90,21 +94,23 @@ def _bits(h: np.ndarray, size: int) -> np.ndarray:
 
 
 class Filter:
-    """A Bloom filter over 64-bit hashes."""
+    """A Bloom filter over 64-bit hashes, eight bits a byte."""
 
-    def __init__(self, bits: np.ndarray):
-        self.bits = bits
+    def __init__(self, packed: np.ndarray):
+        self.packed = packed
 
     @classmethod
     def empty(cls, expected: int, most: int):
         size = 1 << max(6, (12 * max(expected, 1) - 1).bit_length())
-        return cls(np.zeros(min(size, most), bool))
+        return cls(np.zeros(min(size, most) // 8, np.uint8))
 
     def add(self, h):
-        self.bits[_bits(h, len(self.bits)).ravel()] = True
+        at = _bits(h, 8 * len(self.packed)).ravel()
+        np.bitwise_or.at(self.packed, at >> 3, (1 << (at & 7)).astype(np.uint8))
 
     def has(self, h):
-        return self.bits[_bits(h, len(self.bits))].all(axis=0)
+        at = _bits(h, 8 * len(self.packed))
+        return ((self.packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=0)
 
 
 def _twice_filter(key, table: pa.Table, most):
@@ -122,27 +128,48 @@ def _twice_filter(key, table: pa.Table, most):
         return pa.table({"slice": pa.array([], pa.int32()), "bits": pa.array([], pa.binary())})
     twice = Filter.empty(len(again), most)
     twice.add(again)
-    return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(twice.bits).tobytes()], pa.binary())})
+    return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([twice.packed.tobytes()], pa.binary())})
 
 
-def _suspects(batches, filters, slices, min_chars):
+def _suspected(column, filters, slices, min_chars):
+    """First row, data, and (row, start, end) of the suspected lines of each chunk."""
     shift = np.uint64(64 - slices.bit_length() + 1)
-    slices_of = {k: Filter(np.unpackbits(np.frombuffer(v, np.uint8)).view(bool)) for k, v in filters.value.items()}
+    for lo, hi, data, offs in B.chunks(column):
+        row, start, end, h = _keys(data, offs, min_chars)
+        order = np.argsort(h, kind="stable")
+        row, start, end, h = row[order], start[order], end[order], h[order]
+        cut = (h >> shift).astype(np.int64)
+        kinds, at = np.unique(cut, return_index=True)
+        hit = np.zeros(len(h), bool)
+        for k, a, b in zip(kinds.tolist(), at, np.r_[at[1:], len(h)]):
+            if k in filters:
+                hit[a:b] = filters[k].has(h[a:b])
+        yield lo, data, row[hit], start[hit], end[hit]
+
+
+def _filters(sent):
+    return {k: Filter(np.frombuffer(v, np.uint8)) for k, v in sent.value.items()}
+
+
+def _flag(batches, sent, id_at, text_at, slices, min_chars, schema):
+    """Rows with whether they may lose lines."""
+    filters = _filters(sent)
+    for batch in batches:
+        may = np.zeros(batch.num_rows, bool)
+        for lo, _, row, _, _ in _suspected(batch.column(text_at), filters, slices, min_chars):
+            may[lo + row] = True
+        may &= batch.column(id_at).is_valid().to_numpy(zero_copy_only=False)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(may)], names=schema)
+
+
+def _suspects(batches, sent, slices, min_chars):
+    filters = _filters(sent)
     for batch in batches:
         ids, docs, digests = batch.column(0), [], []
-        for lo, hi, data, offs in B.chunks(batch.column(1)):
-            row, start, end, h = _keys(data, offs, min_chars)
-            order = np.argsort(h, kind="stable")
-            row, start, end, h = row[order], start[order], end[order], h[order]
-            cut = (h >> shift).astype(np.int64)
-            kinds, at = np.unique(cut, return_index=True)
-            hit = np.zeros(len(h), bool)
-            for k, a, b in zip(kinds.tolist(), at, np.r_[at[1:], len(h)]):
-                if k in slices_of:
-                    hit[a:b] = slices_of[k].has(h[a:b])
+        for lo, data, row, start, end in _suspected(batch.column(1), filters, slices, min_chars):
             whole = data.tobytes().lower()
             seen = set()
-            for r, s, e in zip(row[hit].tolist(), start[hit].tolist(), end[hit].tolist()):
+            for r, s, e in zip(row.tolist(), start.tolist(), end.tolist()):
                 d = (hashlib.blake2b(whole[s:e], digest_size=16).digest(), r)
                 if d not in seen:
                     seen.add(d)
@@ -199,15 +226,20 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
     # at most max_filter_bits / 8 bytes in all, whatever the input
     filters = spark.sparkContext.broadcast({r["slice"]: bytes(r["bits"]) for r in twice.toLocalIterator()})
-    suspects = store(narrow.mapInArrow(partial(_suspects, filters=filters, slices=slices, min_chars=min_chars), "digest binary, doc long"))
-    first = suspects.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("digest", "first")
+    suspects = store(narrow.mapInArrow(partial(_suspects, sent=filters, slices=slices, min_chars=min_chars), "digest binary, doc long"))
+    # stored, so that the join is a stage of its own, which Spark can split at a hot line
+    first = store(suspects.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("digest", "first"))
     drops = (
         suspects.join(first, "digest").where("doc > first").groupBy("doc").agg(F.collect_set("digest").alias("_ld_drop")).withColumnRenamed("doc", "_ld_doc")
     )
-    key = docs[f"`{id_col}`"].cast("long")
-    joined = docs.join(drops, key == drops["_ld_doc"], "left").drop("_ld_doc")
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     at = [c.lower() for c in docs.columns]
+    flag = partial(_flag, sent=filters, id_at=at.index(id_col.lower()), text_at=at.index(text_col.lower()), slices=slices, min_chars=min_chars)
+    flagged_schema = T.StructType([*docs.schema.fields, T.StructField("_ld_may", T.BooleanType())])
+    flagged = docs.mapInArrow(partial(flag, schema=flagged_schema.names), flagged_schema)
+    may = flagged.where("_ld_may").drop("_ld_may")
+    changed = may.join(drops, may[f"`{id_col}`"].cast("long") == drops["_ld_doc"], "left").drop("_ld_doc")
+    joined = changed.unionByName(flagged.where("not _ld_may").drop("_ld_may").withColumn("_ld_drop", F.lit(None).cast("array<binary>")))
+    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     return joined.mapInArrow(
         partial(_rewrite, id_at=at.index(id_col.lower()), text_at=at.index(text_col.lower()), drop_at=len(at), schema=schema.names, min_chars=min_chars), schema
     )
