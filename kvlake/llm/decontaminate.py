@@ -12,16 +12,17 @@ false negatives, and the stretches are matched on the words themselves.
 
 The benchmark is a stated query set.  It is read in blocks of at most
 ``block_words`` words; each block's automaton is broadcast, so what is sent has
-a bound, and the documents are streamed once per block.
+a bound (about 700 bytes a word), and the documents are streamed once per block.
+Between blocks the result so far is stored, so a worker holds one automaton.
 
 Defined results: a null or empty text has no words and is never contaminated.
 An item without words has no window.  Equal items each count.  Rows with equal
-or null doc_id are judged one by one.
+or null doc_id are judged one by one.  A very long text is streamed in one piece.
+A column named like an added one is replaced.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable
 from functools import partial
 
@@ -32,10 +33,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kvlake.llm import bytesops as B
-from kvlake.llm.common import bound_batches, without
+from kvlake.llm.common import bound_batches, store, without
 
 WINDOW = 13
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 200_000
 _TOKEN = np.zeros(256, bool)
 _TOKEN[0x30:0x3A] = _TOKEN[0x41:0x5B] = _TOKEN[0x61:0x7B] = True
 _TOKEN[0x80:] = True
@@ -251,7 +252,7 @@ def find_contamination(
     blocks = 0
     for block in _blocks(benchmark, item_col, item_text, block_words):
         schema = T.StructType([*out.schema.fields, *(T.StructField(f"_dc{blocks}_{k}", t) for k, t in enumerate(types))])
-        out = out.mapInArrow(partial(_match, sent=sc.broadcast(Automaton(block, window)), text_at=text_at, schema=schema.names), schema)
+        out = (store(out) if blocks else out).mapInArrow(partial(_match, sent=sc.broadcast(Automaton(block, window)), text_at=text_at, schema=schema.names), schema)
         blocks += 1
     schema = T.StructType([*base, *(T.StructField(n, t) for n, t in zip(ADDED[:4], types))])
     out = out.toDF(*schema.names) if blocks == 1 else out.mapInArrow(partial(_merge_blocks, text_at=text_at, blocks=blocks, schema=schema.names), schema)
@@ -288,7 +289,3 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str =
 
 def items_digest(items: F.Column) -> F.Column:
     return F.sha2(F.array_join(F.array_sort(items), ","), 256)
-
-
-def sha_of(ids: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
