@@ -8,14 +8,16 @@ aggregate per round, of at most nodes x bins rows.  Splitting stops when a node
 holds the bytes of one shard.
 
 Rows that tie in a dimension are cut by a hash of their content, so shards stay
-near equal however few values a dimension has.
+near equal however few values a dimension has.  Each level's cuts are a small
+table, a row per node, that is joined to the rows; the level is then stored.
 
 Slots are dealt by (shard, hash bucket) with prefix sums over bucket counts, so
 numbering a shard is not one task's work.
 
 Defined results: a null text has no bytes (size 1); null metadata is a value of
-its own, below all others.  Repeated rows are separate rows with own slots.  An
-empty table gives no rows.
+its own, below all others.  Repeated rows are separate rows with own slots.  A
+very long text counts by its bytes only.  An empty table gives no rows.  Other
+columns of ``docs`` are not returned.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from kvlake.llm.common import store
 BINS = 1024
 TOLERANCE = 0.0005
 ROWS_PER_BUCKET = 20_000
+MAX_SENT = 100_000  # rows of about 40 bytes
 
 
 def ordered_code(value: Column, kind: str) -> Column:
@@ -74,27 +77,26 @@ def _splits(meta: DataFrame, nodes: dict[int, Node], dims: list[str], spans: lis
         n.done = n.dim is None
     while open_ := {k: n for k, n in nodes.items() if not n.done}:
         steps = {k: -(-n.width // bins) for k, n in open_.items()}
-        asked = spark.createDataFrame([(k, n.dim, n.tie, n.low, n.width, steps[k]) for k, n in open_.items()], "node int, dim int, tie long, low long, width long, step long")
-        rows = meta.join(F.broadcast(asked), "node")  # a row per node, of which there are at most as many as shards
+        targets = {k: n.weight * (n.shards // 2) / n.shards for k, n in open_.items()}
+        asked = spark.createDataFrame(
+            [(k, n.dim, n.tie, n.low, n.width, steps[k], float(targets[k] - n.below)) for k, n in open_.items()], "node int, dim int, tie long, low long, width long, step long, need double"
+        )
+        rows = meta.join(_few(asked, len(open_)), "node")
         value = F.coalesce(*[F.when(F.col("dim") == i, F.col(d)) for i, d in enumerate(dims)])
         value = F.when(F.col("tie").isNull(), value).when(value == F.col("tie"), F.col("hash"))
         bin_ = F.floor((value - F.col("low")) / F.col("step")).cast("int")
-        sums = rows.withColumn("v", value).where("v >= low and v < low + width").withColumn("bin", bin_).groupBy("node", "bin").agg(F.sum("size").alias("w"))
-        found: dict[int, list[tuple[int, int]]] = {}
-        for r in sums.collect():  # at most bins rows for each node
-            found.setdefault(r["node"], []).append((r["bin"], r["w"]))
+        sums = rows.withColumn("v", value).where("v >= low and v < low + width").withColumn("bin", bin_).groupBy("node", "bin").agg(F.sum("size").alias("w"), F.first("need").alias("need"))
+        upto = F.sum("w").over(Window.partitionBy("node").orderBy("bin"))  # at most ``bins`` rows a node
+        one = F.struct("bin", "w", (F.col("upto") - F.col("w")).alias("under"))
+        crossed = sums.withColumn("upto", upto).groupBy("node").agg(F.coalesce(F.min(F.when(F.col("upto") >= F.col("need"), one)), F.max(one)).alias("c"))
+        found = {r["node"]: r["c"] for r in crossed.collect()}  # a row per node
         for k, node in open_.items():
-            target = node.weight * (node.shards // 2) / node.shards
-            under, at = node.below, None
-            for b, w in sorted(found.get(k, [])):
-                at = (b, w)
-                if under + w >= target:
-                    break
-                under += w
+            at, target = found.get(k), targets[k]
             if at is None:
                 node.done = True
                 continue
-            low, w = node.low + at[0] * steps[k], at[1]
+            under = node.below + at["under"]
+            low, w = node.low + at["bin"] * steps[k], at["w"]
             exact = min(target - under, under + w - target) <= tolerance * target
             if exact or (steps[k] == 1 and node.tie is not None):
                 node.low = low if target - under <= under + w - target else low + steps[k]
@@ -105,11 +107,22 @@ def _splits(meta: DataFrame, nodes: dict[int, Node], dims: list[str], spans: lis
                 node.below, node.low, node.width = under, low, steps[k]
 
 
-def _left(node: Node, dims: list[str]) -> Column:
-    d = F.col(dims[node.dim])
-    if node.tie is None:
-        return d < F.lit(node.low)
-    return (d < F.lit(node.tie)) | ((d == F.lit(node.tie)) & (F.col("hash") < F.lit(node.low)))
+def _few(rows: DataFrame, n: int) -> DataFrame:
+    """Sent to all tasks while they are at most ``MAX_SENT`` rows; else joined by Spark's choice."""
+    return F.broadcast(rows) if n <= MAX_SENT else rows
+
+
+def _descend(rows: DataFrame, live: dict[int, Node], dims: list[str]) -> DataFrame:
+    """``rows`` with the node of the next level, by each node's cut."""
+    spark = rows.sparkSession
+    cuts = [(k, n.dim, n.tie, n.low, n.kids[1].first - n.first) for k, n in live.items() if n.dim is not None]
+    if not cuts:
+        return rows
+    cut = spark.createDataFrame(cuts, "node int, dim int, tie long, low long, shift int")
+    joined = rows.join(_few(cut, len(cuts)), "node", "left")
+    value = F.coalesce(*[F.when(F.col("dim") == i, F.col(d)) for i, d in enumerate(dims)])
+    right = F.when(F.col("tie").isNull(), value >= F.col("low")).otherwise((value > F.col("tie")) | ((value == F.col("tie")) & (F.col("hash") >= F.col("low"))))
+    return store(joined.withColumn("node", (F.col("node") + F.when(right, F.col("shift")).otherwise(0)).cast("int")).select(*rows.columns))
 
 
 def shard(
@@ -143,20 +156,11 @@ def shard(
     out = meta
     while live := {k: n for k, n in level.items() if n.shards > 1}:
         _splits(out, live, dims, spans, bins, tolerance)
-        step, after = F.col("node"), dict(level)
+        after = {k: n for k, n in level.items() if k not in live}
         for n in live.values():
             n.kids = [Node(n.shards // 2, n.first), Node(n.shards - n.shards // 2, n.first + n.shards // 2)]
-        moves = [(k, n) for k, n in live.items() if n.dim is not None]
-        to_right = F.lit(False)
-        for k, n in moves:
-            to_right = to_right | ((F.col("node") == k) & ~_left(n, dims))
-        shift = F.lit(0)
-        for k, n in live.items():
-            shift = F.when(F.col("node") == k, F.lit(n.kids[1].first - n.first)).otherwise(shift)
-            del after[k]
-            after[n.kids[0].first] = n.kids[0]
-            after[n.kids[1].first] = n.kids[1]
-        out = out.withColumn("node", F.when(to_right, step + shift).otherwise(step).cast("int"))
+            after |= {kid.first: kid for kid in n.kids}
+        out = _descend(out, live, dims)
         level = after
     buckets = max(1, (whole["n"] or 0) // (ROWS_PER_BUCKET * n_shards))
     out = out.withColumn("bucket", F.pmod(F.xxhash64("hash"), F.lit(buckets)))
