@@ -1,9 +1,11 @@
 """Toxic spans with a linear-chain conditional random field.
 
 *Labelled tokens.*  Labels are by document.  A word of a toxic document is
-labelled toxic if it is much likelier in toxic documents than in others (by a
-smoothed log odds ratio over the documents counted); all other words are not.
-Word counts are a Spark aggregate over at most ``max_counted`` labelled documents;
+labelled toxic if it, or its start of seven or five characters, is much likelier
+in toxic documents than in others (by a smoothed log odds ratio over the
+documents counted); all other words are not.  So words that were never seen can
+be tagged by how they begin.  A word's feature is itself if it is known, else its
+longest known start.  Word counts are a Spark aggregate over at most ``max_counted`` labelled documents;
 the words kept as features are the ``max_words`` with the largest odds, both ways.
 
 *Model.*  Two states (clean, toxic), a weight for each feature word and state,
@@ -18,7 +20,8 @@ of toxic words expected, and its share of the words, go through a logistic curve
 fitted on the training documents to give the document's score.
 
 Defined results: a null or empty text, and one without feature words, has the
-score of no toxic words.  Repeated rows score alike.  Training rows need a label
+score of no toxic words.  Repeated rows score alike.  A very long text is scored
+whole.  A column named like an added one is replaced.  Training rows need a label
 and a doc_id; if there are none, every score is 0.
 """
 
@@ -41,6 +44,7 @@ MAX_COUNTED = 8_000
 MAX_TRAIN = 3_000
 MAX_WORDS = 2_000
 MIN_ODDS = 2.0
+STARTS = (7, 5)
 HELD_OUT, FOLDS = 2, 4
 THRESHOLD = 0.3
 ADDED = ("score", "toxic_spans", "expected_toxic")
@@ -54,16 +58,29 @@ def fold(id_: Column) -> Column:
 
 
 def word_list(text: str | None) -> list[str]:
-    """Lower-case words without punctuation around them."""
-    return [w.strip(_PUNCTUATION).decode(errors="replace") for w in (text or "").lower().encode().split()]
+    """Words without punctuation around them, A-Z lower-cased, as scores see them."""
+    return [w.strip(_PUNCTUATION).decode(errors="replace") for w in (text or "").encode().lower().split()]
+
+
+def forms(word: str) -> list[str]:
+    """What a word may be known by: itself, or its starts."""
+    return [word, *(word[:n] + "*" for n in STARTS if len(word) > n)]
+
+
+def feature(word: str, known: dict[str, int]) -> int:
+    """Id of a word's feature; ``len(known)`` if it has none."""
+    for form in forms(word):
+        if form in known:
+            return known[form]
+    return len(known)
 
 
 def _document_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, toxic) once for each document and word."""
+    """(word or start, toxic) once for each document."""
     for batch in batches:
         words, toxic = [], []
         for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            found = {w for w in word_list(text) if w}
+            found = {form for w in set(word_list(text)) if w for form in forms(w)}
             words += found
             toxic += [label] * len(found)
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(toxic, pa.int32())], names=["word", "toxic"])
@@ -129,7 +146,7 @@ class Model:
 def _stretches(words: list[str], known: dict[str, int], around: int = 3) -> list[np.ndarray]:
     """Ids of the words around feature words (``len(known)`` for other words)."""
     other = len(known)
-    ids = np.array([known.get(w, other) for w in words], np.int64)
+    ids = np.array([feature(w, known) for w in words], np.int64)
     hit = np.flatnonzero(ids < other)
     if not len(hit):
         return [ids[: 2 * around]] if len(ids) else []
@@ -226,10 +243,11 @@ def fit_curve(model: Model, docs: list[tuple[str | None, int]], weights: tuple[f
 
 def tag(model: Model, words: list[str]) -> tuple[list[tuple[int, float]], float]:
     """(place, probability of toxic) of the feature words, and the sum of squares: sure words count most."""
-    at = [i for i, w in enumerate(words) if w in model.words]
+    found = np.array([feature(w, model.words) for w in words], np.int64)
+    at = np.flatnonzero(found < len(model.words)).tolist()
     if not at:
         return [], 0.0
-    ids = np.array([model.words[words[i]] for i in at], np.int64)
+    ids = found[at]
     p = model.marginals(np.array(at), ids, len(words))
     return list(zip(at, p.tolist())), float((p * p).sum())
 
@@ -272,12 +290,17 @@ def fit(
 
 def _score(batches, sent, text_at, schema):
     model: Model = sent.value
-    names = sorted(model.words)
-    table = np.zeros(0, _U)
-    if names:
+
+    def hashes(names):
         raw = [w.encode() for w in names]
         offs = np.cumsum([0, *map(len, raw)])
-        table = np.sort(B.span_hash(B.prefix_hash(np.frombuffer(b"".join(raw), np.uint8)), offs[:-1], offs[1:]))
+        return np.sort(B.span_hash(B.prefix_hash(np.frombuffer(b"".join(raw), np.uint8)), offs[:-1], offs[1:]))
+
+    def among(h, table):
+        return table[np.minimum(np.searchsorted(table, h), len(table) - 1)] == h if len(table) else np.zeros(len(h), bool)
+
+    whole = hashes([w for w in model.words if not w.endswith("*")])
+    starts = {n: hashes([w[:-1] for w in model.words if w.endswith("*") and len(w) == n + 1]) for n in STARTS}
     edge = np.zeros(256, bool)
     edge[list(_PUNCTUATION)] = True
     for batch in batches:
@@ -287,7 +310,7 @@ def _score(batches, sent, text_at, schema):
         for lo, hi, data, offs in B.chunks(batch.column(text_at)):
             start, end, per_row = B.words(data, offs)
             n_words[lo:hi] = per_row
-            if not len(start) or not len(table):
+            if not len(start) or not model.words:
                 continue
             # a word's inside: from its first to its last byte that is no punctuation
             inside = ~edge[data]
@@ -298,9 +321,15 @@ def _score(batches, sent, text_at, schema):
             s, e = start.copy(), start.copy()
             s[some] = places[seen[start[some]]]
             e[some] = places[seen[end[some]] - 1] + 1
-            h = B.span_hash(B.prefix_hash(data, B.VALUES_LOWER), s, e)
-            near = np.minimum(np.searchsorted(table, h), len(table) - 1)
-            hit = np.flatnonzero(table[near] == h)
+            prefix = B.prefix_hash(data, B.VALUES_LOWER)
+            seen = among(B.span_hash(prefix, s, e), whole)
+            points = np.r_[np.flatnonzero((data & 0xC0) != 0x80), np.full(max(STARTS) + 1, len(data))]
+            first = np.searchsorted(points, s)
+            for n, table in starts.items():
+                cut = points[np.minimum(first + n, len(points) - 1)]
+                longer = np.flatnonzero(cut < e)
+                seen[longer] |= among(B.span_hash(prefix, s[longer], cut[longer]), table)
+            hit = np.flatnonzero(seen)
             if not len(hit):
                 continue
             first = np.cumsum(per_row) - per_row
@@ -308,8 +337,8 @@ def _score(batches, sent, text_at, schema):
             for r in np.unique(rows).tolist():
                 at, ids = [], []
                 for w in hit[rows == r].tolist() if len(hit) < 64 else hit[np.searchsorted(rows, r) : np.searchsorted(rows, r, side="right")].tolist():
-                    k = model.words.get(data[s[w] : e[w]].tobytes().lower().decode(errors="replace"))
-                    if k is not None:
+                    k = feature(data[s[w] : e[w]].tobytes().lower().decode(errors="replace"), model.words)
+                    if k < len(model.words):
                         at.append(w)
                         ids.append(k)
                 if not at:
