@@ -1,6 +1,7 @@
 """Operators that remove or link repeats, against brute force."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -158,6 +159,35 @@ def test_ngram_join_matches_brute_force(spark, least):
     assert {i: (got[i * 3]["n_shingles"], got[i * 3]["component_id"] // 3) for i in range(len(ts))} == dict(enumerate(want))
 
 
+@pytest.mark.parametrize("before", [0, 8])
+def test_ngram_join_of_a_cluster_with_near_misses(spark, monkeypatch, before):
+    """Copies of one text with more and more edits: many share signatures and don't link."""
+    monkeypatch.setattr(ngram_join, "BEFORE", before)
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    ts = []
+    for i in range(120):
+        ws = list(base)
+        for _ in range(rng.randrange(1, 9)):
+            ws[rng.randrange(len(ws))] = f"e{i}x{rng.randrange(10**6)}"
+        ts.append(" ".join(ws))
+    ts += ts[:5] + ["", None, " ".join(base[:100]), " ".join(base)]
+    rng.shuffle(ts)
+    want = components(ts)
+    assert 3 < len({root for _, root in want}) < 100
+    got = {r["doc_id"]: r for r in ngram_join.near_duplicates(frame(spark, ts)).collect()}
+    assert {i: (got[i * 3]["n_shingles"], got[i * 3]["component_id"] // 3) for i in range(len(ts))} == dict(enumerate(want))
+
+
+def test_ngram_join_tells_words_of_equal_polynomial_hashes_apart(spark):
+    """A Thue-Morse word and its complement collide modulo any power of two."""
+    bits = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = bits.translate(str.maketrans("ab", "ba"))
+    ts = [" ".join([bits] * 4 + ["end"]), " ".join([other] * 4 + ["end"]), " ".join([bits, other] * 3), " ".join([bits.upper()] * 4 + ["END"])]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(frame(spark, ts)).collect()}
+    assert got == {0: (1, 0), 3: (1, 3), 6: (2, 6), 9: (1, 0)}
+
+
 def test_ngram_join_keeps_links_of_an_id_with_several_texts(spark):
     words = lambda name, n: [f"{name}{i}" for i in range(n)]
     a = words("a", 104)
@@ -198,6 +228,34 @@ def test_decontamination_blocks_and_short_items(spark):
     assert {r["doc_id"] // 3 for r in left} == {i for i, t in enumerate(docs) if not brute(t)[3]}
 
 
+def test_sharding_matches_a_tree_built_in_one_place(spark):
+    """Brute force: the same splits over a list, each at the value nearest the share."""
+    rng = random.Random(8)
+    rows = [(i, "x" * rng.randrange(200), rng.randrange(10**6), float(rng.randrange(500))) for i in range(400)]
+    out = kd_sharding.shard(spark.createDataFrame(rows, "doc_id long, text string, a long, b double"), ["a", "b"], n_shards=8, tolerance=0.0).collect()
+    size = {r["doc_id"]: r["size"] for r in out}
+    code = {i: (a, int(b), math.floor(math.log2(size[i]) * 64)) for i, _, a, b in rows}
+    span = [max(1, max(c[d] for c in code.values()) - min(c[d] for c in code.values())) for d in range(3)]
+    got = {r["doc_id"]: r["shard"] for r in out}
+
+    def check(ids, first, shards):
+        assert {got[i] for i in ids} == set(range(first, first + shards))
+        if shards == 1:
+            return
+        wide = [(max(code[i][d] for i in ids) - min(code[i][d] for i in ids)) / span[d] for d in range(3)]
+        d = wide.index(max(wide))
+        left = [i for i in ids if got[i] < first + shards // 2]
+        right = [i for i in ids if got[i] >= first + shards // 2]
+        assert max(code[i][d] for i in left) <= min(code[i][d] for i in right)
+        target = sum(size[i] for i in ids) * (shards // 2) / shards
+        edge = max(size[i] for i in ids if code[i][d] == max(code[j][d] for j in left) or code[i][d] == min(code[j][d] for j in right))
+        assert abs(sum(size[i] for i in left) - target) <= edge
+        check(left, first, shards // 2)
+        check(right, first + shards // 2, shards - shards // 2)
+
+    check([r[0] for r in rows], 0, 8)
+
+
 def test_sharding_is_near_equal_and_gapless(spark):
     ts = texts(5, 200) * 2
     df = frame(spark, ts).withColumnRenamed("n_lines", "source")
