@@ -41,17 +41,5 @@ def decode_internal_key(raw: Column) -> Column:
     return F.when((n >= 9) & op.isin(0, 1), whole)
 
 
-def block_handle(offset: Column, size: Column) -> Column:
-    return F.concat(u64_le(offset), u64_le(size))
-
-
-def record_type_name(code: Column) -> Column:
-    return F.when(code == 1, "full").when(code == 2, "first").when(code == 3, "middle").when(code == 4, "last")
-
-
 def compression_name(code: Column) -> Column:
     return F.when(code == 0, "none").when(code == 1, "snappy").when(code == 2, "lz4")
-
-
-def hit_rate(hits: Column, lookups: Column) -> Column:
-    return F.when(lookups == 0, F.lit(0.0)).otherwise(hits / lookups)

@@ -35,14 +35,3 @@ FILES = T.StructType(
 def internal_order() -> list[Column]:
     """Keys ascending, newest version first, a put before a delete of one sequence."""
     return [F.col("key").asc(), F.col("seq").desc(), F.col("op").desc()]
-
-
-def prefix_successor(prefix: bytes) -> bytes | None:
-    """The smallest key above all keys with the prefix; None if there is none."""
-    cut = prefix.rstrip(b"\xff")
-    return cut[:-1] + bytes([cut[-1] + 1]) if cut else None
-
-
-def op_name(op: Column) -> Column:
-    """'put' or 'delete'; an unknown code is null."""
-    return F.when(op == PUT, "put").when(op == DELETE, "delete")

@@ -10,11 +10,9 @@ import struct
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from kvlake.options import Corruption
 
@@ -44,12 +42,6 @@ def expected_rate(n: Column, bits: Column, hashes: Column) -> Column:
     return F.when(n == 0, F.lit(0.0)).otherwise(F.pow(1 - F.exp(-hashes.cast("double") * n / bits), hashes.cast("double")))
 
 
-def bits_per_key(n: Column, per_key: int = 10) -> tuple[Column, Column]:
-    """Bits and probes for a fixed number of bits a key."""
-    probes = min(max(round(0.69 * per_key), 1), MAX_HASHES)
-    return F.greatest(F.lit(MIN_BITS), n * per_key).cast("long"), F.lit(probes).cast("long")
-
-
 def _size(n: int, rate: float) -> tuple[int, int]:
     if n == 0:
         return MIN_BITS, 1
@@ -118,32 +110,36 @@ class BloomFilter:
         return 0.0 if n == 0 else float((1 - np.exp(-self.hashes * n / len(self.bits))) ** self.hashes)
 
 
-def build(keys: DataFrame, per_filter: int, rate: float = 0.01, partitions: int | None = None) -> DataFrame:
-    """One filter for each hash bucket of distinct keys: (bucket, filter).
+def buckets_for(keys: DataFrame, per_filter: int) -> int:
+    """Hash buckets of about ``per_filter`` distinct keys."""
+    return max(1, -(-keys.select("key").distinct().count() // per_filter))
+
+
+def _bucket(n: int) -> Column:
+    return F.pmod(F.xxhash64("key"), F.lit(n)).cast("int").alias("bucket")
+
+
+def build(keys: DataFrame, buckets: int, rate: float = 0.01) -> DataFrame:
+    """One filter for each hash bucket of distinct keys: (bucket, n_keys, filter).
 
-    ``per_filter`` is the number of keys a filter is sized for; buckets are made
-    to fit it, so a filter's size has a bound and building is parallel.
-    """
-    n = partitions or max(1, -(-keys.select("key").distinct().count() // per_filter))
-    dealt = keys.select("key", F.pmod(F.xxhash64("key"), F.lit(n)).cast("int").alias("bucket")).distinct()
+    With ``buckets_for`` a filter's size has a bound and building is parallel."""
 
     def fill(key, table):
         ks = table.column("key").to_pylist()
         blob = BloomFilter.sized(max(len(ks), 1), rate).add(ks).encode()
         return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "n_keys": pa.array([len(ks)], pa.int64()), "filter": pa.array([blob], pa.binary())})
 
-    return dealt.groupBy("bucket").applyInArrow(fill, "bucket int, n_keys long, filter binary")
+    return keys.select("key", _bucket(buckets)).distinct().groupBy("bucket").applyInArrow(fill, "bucket int, n_keys long, filter binary")
 
 
 def probe(filters: DataFrame, keys: DataFrame, buckets: int) -> DataFrame:
-    """Each key with whether the filter of its bucket may contain it."""
-    asked = keys.select("key", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int").alias("bucket"))
-    return asked.join(filters.select("bucket", "filter"), "bucket", "left").select("key", F.coalesce(_test("filter", "key"), F.lit(False)).alias("may_contain"))
+    """Each distinct key with whether the filter of its bucket may contain it; a
+    bucket's filter is read once, beside its keys."""
 
+    def test(asked, found):
+        ks = asked.column("key").to_pylist()
+        may = BloomFilter.decode(found.column("filter")[0].as_py()).may_contain(ks) if found.num_rows else np.zeros(len(ks), bool)
+        return pa.table({"key": pa.array(ks, pa.binary()), "may_contain": pa.array(may)})
 
-@F.pandas_udf(T.BooleanType())
-def _test(filters: pd.Series, keys: pd.Series) -> pd.Series:
-    out = pd.Series(False, index=keys.index)
-    for blob, at in filters.groupby(filters).groups.items():
-        out.loc[at] = BloomFilter.decode(blob).may_contain([bytes(k) for k in keys.loc[at]])
-    return out
+    asked = keys.select("key", _bucket(buckets)).distinct()
+    return asked.groupBy("bucket").cogroup(filters.select("bucket", "filter").groupBy("bucket")).applyInArrow(test, "key binary, may_contain boolean")

@@ -7,21 +7,13 @@ given size would have done for a recorded list of block reads.
 from __future__ import annotations
 
 import math
-import tempfile
-from collections import OrderedDict
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _checkpoint(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="kvlake-"))
-    return df.checkpoint()
+from kvlake.operators.ranges import pinned
 
 
 def _earlier_greater(values: np.ndarray) -> np.ndarray:
@@ -69,7 +61,7 @@ def stack_distance(accesses: DataFrame, order: str = "access_id", block: str = "
     size = 4 * math.isqrt(n) + 1
     ranges = n // size + 1
     # kept, as a second run could cut the ranges elsewhere
-    dealt = _checkpoint(accesses.select(shard, block, order).repartitionByRange(ranges, shard, order).withColumn("_part", F.spark_partition_id()))
+    dealt = pinned(accesses.select(shard, block, order).repartitionByRange(ranges, shard, order).withColumn("_part", F.spark_partition_id()))
     totals = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row per range
     starts = totals.select(F.col("_part").alias("_p"), F.coalesce(before, F.lit(0)).alias("_start"))
@@ -100,75 +92,7 @@ def cache_stats(distances: DataFrame, capacity: int) -> DataFrame:
     return counts.select("lookups", "hits", misses.alias("misses"), misses.alias("insertions"), rate.alias("hit_rate"))
 
 
-class LRUCache:
-    """An exact LRU over blocks of different sizes.
-
-    Capacity 0 stores nothing and counts lookups without misses; a block over
-    the capacity is not stored.
-    """
-
-    def __init__(self, capacity: int):
-        self.capacity, self.size = capacity, 0
-        self._held: OrderedDict = OrderedDict()
-        self.lookups = self.hits = self.misses = self.insertions = self.evictions = 0
-
-    def get(self, key) -> bool:
-        self.lookups += 1
-        if self.capacity == 0:
-            return False
-        if key in self._held:
-            self._held.move_to_end(key)
-            self.hits += 1
-            return True
-        self.misses += 1
-        return False
-
-    def insert(self, key, size: int) -> None:
-        if self.capacity == 0 or size > self.capacity:
-            return
-        self.size -= self._held.pop(key, 0)
-        while self._held and self.size + size > self.capacity:
-            self.size -= self._held.popitem(last=False)[1]
-            self.evictions += 1
-        self._held[key] = size
-        self.size += size
-        self.insertions += 1
-
-    def clear(self) -> None:
-        self._held.clear()
-        self.size = 0
-
-    def __len__(self) -> int:
-        return len(self._held)
-
-    @property
-    def hit_rate(self) -> float:
-        return self.hits / self.lookups if self.lookups else 0.0
-
-
-def simulate(accesses: DataFrame, capacity: int) -> DataFrame:
-    """Counters per cache shard for blocks of different sizes.
-
-    Shards are dealt out and sorted by Spark; each is replayed in order, a
-    batch at a time, holding only what its cache would hold.
-    """
-    dealt = accesses.select("shard", "access_id", "file_id", "offset", "bytes").repartition("shard").sortWithinPartitions("shard", "access_id")
-
-    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard, lru = None, None
-
-        def row():
-            return pd.DataFrame([[shard, lru.lookups, lru.hits, lru.misses, lru.insertions, lru.evictions]], columns=["shard", "lookups", "hits", "misses", "insertions", "evictions"])
-
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                if lru is None or r.shard != shard:
-                    if lru is not None:
-                        yield row()
-                    shard, lru = r.shard, LRUCache(capacity)
-                if not lru.get((r.file_id, r.offset)):
-                    lru.insert((r.file_id, r.offset), int(r.bytes))
-        if lru is not None:
-            yield row()
-
-    return dealt.mapInPandas(replay, "shard long, lookups long, hits long, misses long, insertions long, evictions long")
+def hits_by_shard(distances: DataFrame, capacity: int, shard: str = "shard") -> DataFrame:
+    """Lookups and hits of each shard's cache of ``capacity`` equal blocks."""
+    hit = F.coalesce(F.col("distance") < capacity, F.lit(False))
+    return distances.groupBy(shard).agg(F.count("*").alias("lookups"), F.sum(hit.cast("long")).alias("hits"))

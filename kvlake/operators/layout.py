@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kvlake.operators import ranges
+
 RESTART_INTERVAL = 16
 
 
@@ -19,20 +18,10 @@ def shared_prefix(a: Column, b: Column) -> Column:
     return F.coalesce(F.when(n == 0, F.lit(0)).when(miss > 0, miss - 1).otherwise(n), F.lit(0)).cast("long")
 
 
-def blocks_by_rows(rows: DataFrame, per_block: int, key: str = "key", group: Column | None = None) -> DataFrame:
-    """Number sorted rows into blocks of a fixed row count.
-
-    Rows are ranked within ranges of the key and shifted by the rows of earlier
-    ranges, so no task sees the whole table.
-    """
-    dealt = rows.repartitionByRange(F.col(key)).withColumn("_part", F.spark_partition_id())
-    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row per range
-    starts = counts.select(F.col("_part").alias("_p"), F.coalesce(before, F.lit(0)).alias("_start"))
-    rank = F.row_number().over(Window.partitionBy("_part").orderBy(key))
-    ranked = dealt.withColumn("_rank", rank).join(starts, F.col("_p") == F.col("_part"))
-    pos = F.col("_start") + F.col("_rank") - 1
-    return ranked.withColumn("pos", pos.cast("long")).withColumn("block", F.floor(pos / per_block).cast("long")).drop("_part", "_p", "_rank", "_start")
+def blocks_by_rows(rows: DataFrame, per_block: int, key: str = "key") -> DataFrame:
+    """Number sorted rows into blocks of a fixed row count."""
+    numbered = ranges.running_total(rows, key, F.lit(1).cast("long"), "pos")
+    return numbered.withColumn("block", F.floor(F.col("pos") / per_block).cast("long"))
 
 
 def prefix_encode(rows: DataFrame, key: str = "key", interval: int = RESTART_INTERVAL) -> DataFrame:
@@ -79,17 +68,3 @@ def find_block(index: DataFrame, targets: DataFrame) -> DataFrame:
     found = found.join(end, F.lit(True))  # one row
     named = found.withColumn("key", F.coalesce("key", "_end")).drop("_end")
     return named.join(index.select(F.col("last_key").alias("key"), "block"), "key").select("target", "block", F.col("key").alias("last_key"))
-
-
-def greedy_cut(batches: Iterator[pd.DataFrame], threshold: int, size: str = "bytes", out: str = "block") -> Iterator[pd.DataFrame]:
-    """For ``mapInPandas`` over rows sorted within partitions: start a new block
-    once the current one has reached ``threshold`` bytes."""
-    block, held = 0, 0
-    for pdf in batches:
-        numbers = []
-        for n in pdf[size]:
-            if held >= threshold:
-                block, held = block + 1, 0
-            numbers.append(block)
-            held += int(n)
-        yield pdf.assign(**{out: numbers})

@@ -55,17 +55,16 @@ def retained(log: DataFrame, pins: list[int], drop_tombstones: bool) -> DataFram
     """Rows that compaction must keep: for each pinned sequence, and for the
     latest state, the newest row of each key.
 
-    A row serves the pins between its own sequence and the next one of its key.
-    With ``drop_tombstones`` a tombstone goes if it is the oldest row kept.
+    With ``drop_tombstones`` the oldest tombstones kept go: they say no more than
+    an absent key does.  Each pin's row is an aggregate with map-side combine, so
+    a key of very many versions is no one task's load; null pins don't count.
     """
-    w = Window.partitionBy("key").orderBy(F.col("seq").asc())
-    rows = log.withColumn("_next", F.lead("seq").over(w))
-    serves = F.col("_next").isNull()
-    if pins:
-        serves = serves | F.exists(F.array(*[F.lit(int(p)).cast("long") for p in sorted(set(pins))]), lambda p: (p >= F.col("seq")) & (p < F.col("_next")))
-    rows = rows.where(serves).drop("_next")
-    if not drop_tombstones:
-        return rows
-    # leading tombstones say no more than an absent key does
-    puts = F.sum((F.col("op") == PUT).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("_puts", puts).where("_puts > 0").drop("_puts")
+    names = log.columns
+    rest = [n for n in names if n not in ("key", "seq")]
+    row = F.struct("seq", *rest)
+    kept = [F.max(F.when(F.col("seq") <= F.lit(int(p)), row)) for p in sorted(set(pins))] + [F.max(row)]
+    found = log.groupBy("key").agg(F.array_sort(F.array_distinct(F.array_compact(F.array(*kept)))).alias("_rows"))
+    if drop_tombstones:
+        first = F.array_position(F.transform("_rows", lambda r: r["op"] == PUT), F.lit(True))
+        found = found.where(first > 0).withColumn("_rows", F.slice("_rows", first.cast("int"), F.size("_rows")))
+    return found.select("key", F.explode("_rows").alias("_row")).select(*[F.col(n) if n == "key" else F.col(f"_row.{n}") for n in names])

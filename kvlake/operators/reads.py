@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kvlake.operators import ranges
 from kvlake.operators.mvcc import in_range, visible
 
 
@@ -42,24 +43,39 @@ def prefix_count(log: DataFrame, prefix: Column, max_seq: int | None = None) ->
     return visible(log, max_seq).groupBy(prefix.alias("prefix")).agg(F.count("*").alias("n_keys"))
 
 
-def seek(log: DataFrame, targets: DataFrame, max_seq: int | None = None) -> DataFrame:
-    """For each ``target``, the first live key at or after it (null if none).
+def range_stats(log: DataFrame, by: Column, value: str = "value", start=None, end=None, max_seq: int | None = None) -> DataFrame:
+    """Count, sum, least and greatest value of the live keys of each ``by`` (a
+    prefix expression, say) within [start, end), at a sequence."""
+    live = visible(log.where(in_range(F.col("key"), start, end)), max_seq)
+    return live.groupBy(by.alias("prefix")).agg(
+        F.count("*").alias("n_keys"), F.sum(value).alias("total"), F.min(value).alias("least"), F.max(value).alias("greatest")
+    )
 
-    Keys and targets are put in one order and each target takes the next key
-    that follows: a sort instead of a range join.  The order is cut into key
-    ranges; each range's first key, one row per range, bridges the cuts.
-    """
+
+def _seek(log: DataFrame, targets: DataFrame, max_seq: int | None, forward: bool) -> DataFrame:
+    """Keys and targets are put in one order, and each target takes the key that
+    was met last, walking towards it: a sort instead of a range join.  Targets
+    that meet none in their range take the nearest range's edge."""
     keys = visible(log, max_seq).select(F.col("key").alias("k"), F.lit(1).alias("_is_key"))
     wanted = targets.select(F.col("target").alias("k"), F.lit(0).alias("_is_key"))
-    rows = keys.unionByName(wanted)
-    dealt = rows.repartitionByRange(F.col("k")).withColumn("_part", F.spark_partition_id())
-    after = Window.partitionBy("_part").orderBy(F.col("k"), F.col("_is_key")).rowsBetween(0, Window.unboundedFollowing)
-    here = dealt.withColumn("found", F.first(F.when(F.col("_is_key") == 1, F.col("k")), ignorenulls=True).over(after))
-    firsts = dealt.where("_is_key = 1").groupBy("_part").agg(F.min("k").alias("first_key"))
-    rest = here.where("_is_key = 0")
-    later = rest.where("found is null").select("_part", "k").distinct()
-    bridged = later.join(firsts.select(F.col("_part").alias("_p"), "first_key"), F.col("_p") > F.col("_part")).groupBy("_part", "k").agg(F.min("first_key").alias("bridge"))
-    return rest.join(bridged, ["_part", "k"], "left").select(F.col("k").alias("target"), F.coalesce("found", "bridge").alias("key"))
+    dealt = ranges.deal(keys.unionByName(wanted), "k")
+    walk = F.col("k").desc() if forward else F.col("k").asc()
+    met = Window.partitionBy(ranges.PART).orderBy(walk, F.col("_is_key").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    key = F.when(F.col("_is_key") == 1, F.col("k"))
+    here = dealt.withColumn("found", F.last(key, ignorenulls=True).over(met)).where("_is_key = 0")
+    edges = ranges.across(dealt, _edge=F.min(key) if forward else F.max(key))
+    bridge = edges.select(ranges.PART, (ranges.following if forward else ranges.preceding)("_edge").alias("_bridge"))
+    return here.join(bridge, ranges.PART).select(F.col("k").alias("target"), F.coalesce("found", "_bridge").alias("key"))
+
+
+def seek(log: DataFrame, targets: DataFrame, max_seq: int | None = None) -> DataFrame:
+    """For each ``target``, the first live key at or after it (null if none)."""
+    return _seek(log, targets, max_seq, True)
+
+
+def seek_back(log: DataFrame, targets: DataFrame, max_seq: int | None = None) -> DataFrame:
+    """For each ``target``, the last live key at or before it (null if none)."""
+    return _seek(log, targets, max_seq, False)
 
 
 def seek_one(log: DataFrame, target, max_seq: int | None = None) -> DataFrame:
@@ -83,21 +99,15 @@ def prev_before(log: DataFrame, key, max_seq: int | None = None) -> DataFrame:
     return visible(log.where(F.col("key") < F.lit(key)), max_seq).orderBy(F.col("key").desc()).limit(1)
 
 
-def neighbours(log: DataFrame, group: Column, max_seq: int | None = None) -> DataFrame:
-    """Each live key with the next and previous one in its group of keys.
-
-    ``group`` must be monotone in the key (a prefix, a range number): rows of a
-    group are sorted by one task and the edges are bridged from the groups'
-    ends, a table of one row per group.
-    """
-    live = visible(log, max_seq).withColumn("_g", group)
-    w = Window.partitionBy("_g").orderBy("key")
-    inner = live.withColumn("next_key", F.lead("key").over(w)).withColumn("prev_key", F.lag("key").over(w))
-    ends = live.groupBy("_g").agg(F.min("key").alias("_lo"), F.max("key").alias("_hi"))
-    order = Window.orderBy("_lo")  # one row per group
-    ends = ends.select(F.col("_g").alias("_eg"), F.lead("_lo").over(order).alias("_after"), F.lag("_hi").over(order).alias("_before"))
-    out = inner.join(ends, F.col("_g").eqNullSafe(F.col("_eg")))
-    return out.withColumn("next_key", F.coalesce("next_key", "_after")).withColumn("prev_key", F.coalesce("prev_key", "_before")).drop("_g", "_eg", "_after", "_before")
+def neighbours(log: DataFrame, max_seq: int | None = None) -> DataFrame:
+    """Each live key with the next and previous one."""
+    dealt = ranges.deal(visible(log, max_seq), "key")
+    order = Window.partitionBy(ranges.PART).orderBy("key")
+    inner = dealt.withColumn("next_key", F.lead("key").over(order)).withColumn("prev_key", F.lag("key").over(order))
+    edges = ranges.across(dealt, _lo=F.min("key"), _hi=F.max("key"))
+    edges = edges.select(ranges.PART, ranges.following("_lo").alias("_after"), ranges.preceding("_hi").alias("_before"))
+    out = inner.join(edges, ranges.PART)
+    return out.withColumn("next_key", F.coalesce("next_key", "_after")).withColumn("prev_key", F.coalesce("prev_key", "_before")).drop(ranges.PART, "_after", "_before")
 
 
 def page(log: DataFrame, after=None, size: int = 100, max_seq: int | None = None) -> DataFrame:
@@ -109,10 +119,12 @@ def page(log: DataFrame, after=None, size: int = 100, max_seq: int | None = None
 def diff(log: DataFrame, old_seq: int, new_seq: int, payload: str = "value") -> DataFrame:
     """Keys that differ between two snapshots: added, removed or changed.
 
-    One pass: only keys written in between can differ.
+    Only keys written in between can differ, so only those are resolved.
     """
-    old = visible(log, old_seq).select("key", F.col(payload).alias("old_value"), F.lit(True).alias("_old"))
-    new = visible(log, new_seq).select("key", F.col(payload).alias("new_value"), F.lit(True).alias("_new"))
+    written = log.where((F.col("seq") > old_seq) & (F.col("seq") <= new_seq)).select("key").distinct()
+    some = log.join(written, "key", "left_semi")
+    old = visible(some, old_seq).select("key", F.col(payload).alias("old_value"), F.lit(True).alias("_old"))
+    new = visible(some, new_seq).select("key", F.col(payload).alias("new_value"), F.lit(True).alias("_new"))
     both = old.join(new, "key", "full")
     kind = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").when(~F.col("old_value").eqNullSafe(F.col("new_value")), "changed")
     return both.withColumn("change", kind).where("change is not null").drop("_old", "_new")

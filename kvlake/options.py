@@ -23,18 +23,10 @@ class Corruption(KVError):
     pass
 
 
-class ChecksumMismatch(Corruption):
-    pass
-
-
 class InvalidArgument(KVError, ValueError):
     pass
 
 
-class NotSupported(KVError):
-    pass
-
-
 class Busy(KVError):
     """Another writer committed first, or a reader pins what was to go."""
 
@@ -47,44 +39,42 @@ class Closed(KVError):
 COMPRESSION = {0: "none", 1: "snappy", 2: "lz4"}
 PARQUET_CODEC = {"none": "uncompressed", "snappy": "snappy", "lz4": "lz4raw"}
 
-KB, MB = 1024, 1024 * 1024
+MB = 1024 * 1024
 
 
 @dataclass(frozen=True)
 class Options:
+    """Settings that mean something over Parquet runs; block and cache sizes, log
+    syncing and threads are Spark's own business here."""
+
     create_if_missing: bool = True
     error_if_exists: bool = False
-    memtable_size: int = 4 * MB
     level0_compaction_threshold: int = 4
     level_size_multiplier: int = 10
     base_level_size: int = 10 * MB
     max_levels: int = 7
-    block_size: int = 4 * KB
-    block_cache_size: int = 8 * MB
     use_bloom_filter: bool = True
     bloom_filter_fp_rate: float = 0.01
     compression: str = "snappy"
-    enable_wal: bool = True
-    sync_wal: bool = True
-    compaction_threads: int = 1
 
     def with_(self, **changes) -> Options:
         return replace(self, **changes).validate()
 
+    # The presets.
     @classmethod
     def for_testing(cls) -> Options:
-        return cls(memtable_size=64 * KB, block_cache_size=MB, base_level_size=256 * KB, compression="none", sync_wal=False)
+        return cls(level0_compaction_threshold=2, base_level_size=MB, max_levels=4, use_bloom_filter=False, compression="none")
 
     @classmethod
     def for_high_write_throughput(cls) -> Options:
-        return cls(memtable_size=16 * MB, level0_compaction_threshold=8, base_level_size=40 * MB, block_size=8 * KB, block_cache_size=16 * MB, sync_wal=False, compaction_threads=4)
+        return cls(level0_compaction_threshold=8, base_level_size=100 * MB)
 
     @classmethod
     def for_high_read_throughput(cls) -> Options:
-        return cls(memtable_size=8 * MB, level0_compaction_threshold=2, block_cache_size=64 * MB, bloom_filter_fp_rate=0.001, compaction_threads=2)
+        return cls(bloom_filter_fp_rate=0.001)
 
     def validate(self) -> Options:
-        for name in ("memtable_size", "block_size", "level0_compaction_threshold", "level_size_multiplier", "base_level_size"):
+        for name in ("level0_compaction_threshold", "level_size_multiplier", "base_level_size"):
             if getattr(self, name) <= 0:
                 raise InvalidArgument(f"{name} must be above 0")
         if self.max_levels < 2:

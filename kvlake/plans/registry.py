@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kvlake.functions import scalar
-from kvlake.operators import batch, bloom, cache, compaction, layout, mvcc, reads, wal
+from kvlake.operators import batch, bloom, cache, compaction, layout, mvcc, ranges, reads, wal
 from kvlake.options import Options
 from kvlake.sources import oplog as src
 
 FRAGMENT = 4096
+KEYS_PER_FILTER = 5000
 OPT = Options()
 
 QUERIES = {}
@@ -80,29 +81,41 @@ def get_deleted(spark, sf):
     return reads.multi_get(log, key).select("key", F.col("seq").isNotNull().alias("found"))
 
 
-@query(f"WITH {_LOG}, {_live()}, wanted AS (SELECT DISTINCT c_custkey AS key FROM customer WHERE c_custkey % 5 = 0) SELECT w.key, l.seq, l.value FROM wanted w LEFT JOIN live l ON l.key = w.key")
+@query(f"WITH {_LOG}, {_live()}, wanted AS (SELECT DISTINCT c_custkey AS key FROM customer) SELECT w.key, l.seq, l.value FROM wanted w LEFT JOIN live l ON l.key = w.key")
 def multi_get(spark, sf):
-    wanted = src.table(spark, sf, "customer").where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("key")).distinct()
+    wanted = src.table(spark, sf, "customer").select(F.col("c_custkey").alias("key")).distinct()
     return _out(reads.multi_get(src.oplog(spark, sf), wanted))
 
 
-@query(f"WITH {_LOG}, {_live('seq <= 500', where='key = 7')} SELECT * FROM live")
+def _at(log, tenths: int) -> int:
+    """A sequence so many tenths along the log."""
+    return log.agg(F.max("seq")).first()[0] * tenths // 10
+
+
+def _seq(tenths: int) -> str:
+    return f"(SELECT max(seq) * {tenths} // 10 FROM log)"
+
+
+@query(f"WITH {_LOG}, {_live(f'seq <= {_seq(5)}', where='key = 5')} SELECT * FROM live")
 def snapshot_get(spark, sf):
-    return _out(reads.get(src.oplog(spark, sf), 7, 500))
+    log = src.oplog(spark, sf)
+    return _out(reads.get(log, 5, _at(log, 5)))
 
 
-@query(f"WITH {_LOG}, {_live('seq <= 500')} SELECT * FROM live")
+@query(f"WITH {_LOG}, {_live(f'seq <= {_seq(5)}')} SELECT * FROM live")
 def snapshot_scan(spark, sf):
-    return _out(reads.scan(src.oplog(spark, sf), max_seq=500))
+    log = src.oplog(spark, sf)
+    return _out(reads.scan(log, max_seq=_at(log, 5)))
 
 
 @query(
-    f"WITH {_LOG}, {_live('seq <= 500', 'a')}, {_live('seq <= 900', 'b')} SELECT coalesce(a.key, b.key) AS key, a.value AS old_value, b.value AS new_value, "
+    f"WITH {_LOG}, {_live(f'seq <= {_seq(5)}', 'a')}, {_live(f'seq <= {_seq(9)}', 'b')} SELECT coalesce(a.key, b.key) AS key, a.value AS old_value, b.value AS new_value, "
     "CASE WHEN a.key IS NULL THEN 'added' WHEN b.key IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.key = b.key "
     "WHERE a.key IS NULL OR b.key IS NULL OR a.value IS DISTINCT FROM b.value"
 )
 def snapshot_diff(spark, sf):
-    return reads.diff(src.oplog(spark, sf), 500, 900)
+    log = src.oplog(spark, sf)
+    return reads.diff(log, _at(log, 5), _at(log, 9))
 
 
 @query(f"WITH {_LOG} SELECT max(seq) AS sequence FROM log")
@@ -180,6 +193,20 @@ def seek_ge(spark, sf):
     return reads.seek(src.text_log(spark, sf), targets)
 
 
+@query(f"WITH {_TEXT}, {_live()}, t AS (SELECT DISTINCT 'user:' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS target FROM customer) SELECT t.target, max(l.key) AS key FROM t LEFT JOIN live l ON l.key <= t.target GROUP BY t.target")
+def seek_le(spark, sf):
+    targets = src.table(spark, sf, "customer").select(F.concat(F.lit("user:"), F.lpad(F.col("c_custkey").cast("string"), 6, "0")).alias("target")).distinct()
+    return reads.seek_back(src.text_log(spark, sf), targets)
+
+
+@query(f"WITH {_LOG}, {_live(f'seq <= {_seq(7)}')} SELECT key // 10 AS prefix, count(*) AS n_keys, CAST(sum(CAST(value AS DECIMAL(20, 2))) AS DOUBLE) AS total, min(value) AS least, max(value) AS greatest FROM live GROUP BY 1")
+def range_statistics(spark, sf):
+    log = src.oplog(spark, sf)
+    rows = log.withColumn("cents", F.col("value").cast("decimal(20,2)"))  # sums of decimals do not depend on their order
+    out = reads.range_stats(rows, F.floor(F.col("key") / 10), "cents", max_seq=_at(log, 7))
+    return out.select("prefix", "n_keys", F.col("total").cast("double").alias("total"), F.col("least").cast("double").alias("least"), F.col("greatest").cast("double").alias("greatest"))
+
+
 @query(f"WITH {_LOG}, {_live()} SELECT * FROM live ORDER BY key LIMIT 1")
 def seek_first(spark, sf):
     return _out(reads.first(src.oplog(spark, sf)))
@@ -192,12 +219,12 @@ def seek_last(spark, sf):
 
 @query(f"WITH {_TEXT}, {_live()} SELECT key, lead(key) OVER (ORDER BY key) AS next_key FROM live")
 def iter_next(spark, sf):
-    return reads.neighbours(src.text_log(spark, sf), F.substring("key", 1, 9)).select("key", "next_key")
+    return reads.neighbours(src.text_log(spark, sf)).select("key", "next_key")
 
 
 @query(f"WITH {_TEXT}, {_live()} SELECT key, lag(key) OVER (ORDER BY key) AS prev_key FROM live")
 def iter_prev(spark, sf):
-    return reads.neighbours(src.text_log(spark, sf), F.substring("key", 1, 9)).select("key", "prev_key")
+    return reads.neighbours(src.text_log(spark, sf)).select("key", "prev_key")
 
 
 @query(f"WITH {_TEXT}, {_live()} SELECT * FROM live WHERE key > 'user:000003' ORDER BY key LIMIT 20")
@@ -284,11 +311,12 @@ def compact_to_l1(spark, sf):
 
 
 @query(
-    f"WITH {_LOG}, n AS (SELECT *, lead(seq) OVER (PARTITION BY key ORDER BY seq) AS nx FROM log), kept AS (SELECT * FROM n WHERE nx IS NULL OR (seq <= 300 AND nx > 300) OR (seq <= 700 AND nx > 700)), "
-    "p AS (SELECT *, sum(op) OVER (PARTITION BY key ORDER BY seq) AS puts FROM kept) SELECT key, seq, op FROM p WHERE puts > 0"
+    f"WITH {_LOG}, n AS (SELECT *, lead(seq) OVER (PARTITION BY key ORDER BY seq) AS nx FROM log), t AS (SELECT {_seq(3)} AS a, {_seq(7)} AS b), kept AS (SELECT n.* FROM n, t WHERE nx IS NULL OR (seq <= a AND nx > a) OR (seq <= b AND nx > b)), "
+        "p AS (SELECT *, sum(op) OVER (PARTITION BY key ORDER BY seq) AS puts FROM kept) SELECT key, seq, op FROM p WHERE puts > 0"
 )
 def compact_with_snapshots(spark, sf):
-    return mvcc.retained(src.oplog(spark, sf), [300, 700], drop_tombstones=True).select("key", "seq", "op")
+    log = src.oplog(spark, sf)
+    return mvcc.retained(log, [_at(log, 3), _at(log, 7)], drop_tombstones=True).select("key", "seq", "op")
 
 
 @query(f"WITH {_FILES} SELECT level, count(*) AS n_files, CAST(sum(file_size) AS BIGINT) AS total_size, CASE WHEN level > 0 THEN CAST(10485760 * pow(10, level - 1) AS BIGINT) END AS target_size FROM files GROUP BY level")
@@ -305,11 +333,11 @@ def pick_compaction(spark, sf):
 
 
 @query(
-    f"WITH {_FILES}, i AS (SELECT min(smallest_key) AS lo, max(largest_key) AS hi FROM files WHERE level = 0 AND file_number BETWEEN 100 AND 300) SELECT level, file_number FROM files, i WHERE level = 1 AND smallest_key <= hi AND largest_key >= lo"
+    f"WITH {_FILES}, i AS (SELECT min(smallest_key) AS lo, max(largest_key) AS hi FROM files WHERE level = 0) SELECT level, file_number FROM files, i WHERE level = 1 AND smallest_key <= hi AND largest_key >= lo"
 )
 def overlapping_files(spark, sf):
     files = compaction.replay(src.edits(spark, sf))
-    inputs = files.where("level = 0 and file_number between 100 and 300").withColumn("output_level", F.col("level") + 1)
+    inputs = files.where("level = 0").withColumn("output_level", F.col("level") + 1)
     return compaction.overlapping(files, inputs).select("level", "file_number")
 
 
@@ -343,14 +371,14 @@ def wal_reassemble(spark, sf):
 
 
 def _records(spark, sf):
-    """Framed records of 16 logs; a record in 97 is damaged."""
+    """Framed records, a log for every 64 documents; a record in 97 is damaged."""
     r = wal.frame(wal.fragment(src.payloads(spark, sf), limit=FRAGMENT))
-    r = r.withColumn("log", (F.col("entry") % 16).cast("int")).withColumn("pos", F.col("entry") * 1000 + F.col("frag"))
+    r = r.withColumn("log", F.floor(F.col("entry") / 64).cast("long")).withColumn("pos", F.col("entry") * 1000 + F.col("frag"))
     return r.withColumn("crc", F.when(F.col("entry") % 97 == 96, F.col("crc") + 1).otherwise(F.col("crc")))
 
 
 @query(
-    f"WITH {_FRAG}, rec AS (SELECT CAST(entry % 16 AS INTEGER) AS log, entry * 1000 + frag AS pos, entry % 97 = 96 AS bad FROM frag), b AS (SELECT log, min(pos) AS p FROM rec WHERE bad GROUP BY log) "
+    f"WITH {_FRAG}, rec AS (SELECT entry // 64 AS log, entry * 1000 + frag AS pos, entry % 97 = 96 AS bad FROM frag), b AS (SELECT log, min(pos) AS p FROM rec WHERE bad GROUP BY log) "
     "SELECT r.log, r.pos FROM rec r LEFT JOIN b ON b.log = r.log WHERE b.p IS NULL OR r.pos < b.p"
 )
 def wal_recover_prefix(spark, sf):
@@ -358,7 +386,7 @@ def wal_recover_prefix(spark, sf):
 
 
 @query(
-    f"WITH {_FRAG}, rec AS (SELECT CAST(entry % 16 AS INTEGER) AS log, entry * 1000 + frag AS pos, len FROM frag) "
+    f"WITH {_FRAG}, rec AS (SELECT entry // 64 AS log, entry * 1000 + frag AS pos, len FROM frag) "
     "SELECT log, pos, CAST(coalesce(sum(len + 7) OVER (PARTITION BY log ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset FROM rec"
 )
 def wal_offsets(spark, sf):
@@ -427,11 +455,8 @@ def index_find_block(spark, sf):
 
 @query(f"WITH {_BLOCKS}, z AS (SELECT block, sum(length(key) + 20) AS size FROM blocks GROUP BY block) SELECT block, CAST(size AS BIGINT) AS size, CAST(coalesce(sum(size) OVER (ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset FROM z")
 def block_handles(spark, sf):
-    from pyspark.sql import Window
-
     sizes = _blocks(spark, sf).groupBy("block").agg(F.sum((F.length("key") + 20).cast("long")).alias("size"))
-    # a row per block: an index, of one part in a hundred of the rows
-    return sizes.withColumn("offset", F.coalesce(F.sum("size").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
+    return ranges.running_total(sizes, "block", F.col("size"), "offset")
 
 
 # --- Bloom filters --------------------------------------------------------------------------------
@@ -457,7 +482,8 @@ def bloom_fpr(spark, sf):
 @query("SELECT count(*) AS n_keys, CAST(0 AS BIGINT) AS false_negatives FROM orders")
 def bloom_no_false_negative(spark, sf):
     keys = src.order_keys(spark, sf).select(F.col("key").cast("binary").alias("key"))
-    out = bloom.probe(bloom.build(keys, 5000, partitions=8), keys, 8)
+    n = bloom.buckets_for(keys, KEYS_PER_FILTER)
+    out = bloom.probe(bloom.build(keys, n), keys, n)
     return out.agg(F.count("*").alias("n_keys"), F.sum((~F.col("may_contain")).cast("long")).alias("false_negatives"))
 
 
@@ -465,13 +491,14 @@ def bloom_no_false_negative(spark, sf):
 def bloom_absent_keys(spark, sf):
     keys = src.order_keys(spark, sf).select(F.col("key").cast("binary").alias("key"))
     absent = src.order_keys(spark, sf).select(F.concat(F.lit("absent:"), F.col("key")).cast("binary").alias("key"))
-    out = bloom.probe(bloom.build(keys, 5000, partitions=8), absent, 8)
+    n = bloom.buckets_for(keys, KEYS_PER_FILTER)
+    out = bloom.probe(bloom.build(keys, n), absent, n)
     return out.agg((F.avg(F.col("may_contain").cast("double")) < 0.03).alias("below_3_percent"))
 
 
 # --- Block cache ----------------------------------------------------------------------------------
 
-_LRU = """a AS (SELECT event_id // 500 AS shard, event_id AS pos, user_id AS block FROM events), p AS (SELECT *, lag(pos) OVER (PARTITION BY shard, block ORDER BY pos) AS prev FROM a),
+_LRU = """a AS (SELECT CAST(0 AS BIGINT) AS shard, event_id AS pos, user_id AS block FROM events), p AS (SELECT *, lag(pos) OVER (PARTITION BY shard, block ORDER BY pos) AS prev FROM a),
 d AS (SELECT p.shard, p.pos, p.block, CASE WHEN p.prev IS NOT NULL THEN (SELECT count(DISTINCT x.block) FROM a x WHERE x.shard = p.shard AND x.pos > p.prev AND x.pos < p.pos) END AS distance FROM p)"""
 
 
@@ -487,8 +514,7 @@ def cache_hit_rate(spark, sf):
 
 @query(f"WITH {_LRU} SELECT shard, count(*) AS lookups, CAST(sum(CASE WHEN distance < 20 THEN 1 ELSE 0 END) AS BIGINT) AS hits FROM d GROUP BY shard")
 def lru_simulation(spark, sf):
-    a = src.accesses(spark, sf).select("shard", "access_id", F.col("block").alias("file_id"), F.lit(0).cast("long").alias("offset"), F.lit(1).cast("int").alias("bytes"))
-    return cache.simulate(a, 20).select("shard", "lookups", "hits")
+    return cache.hits_by_shard(cache.stack_distance(src.accesses(spark, sf)), 20)
 
 
 # --- Scalars and settings -------------------------------------------------------------------------

@@ -1,46 +1,89 @@
-"""A durable store: sorted Parquet runs under a versioned manifest.
+"""A store: sorted Parquet runs under a versioned manifest.
 
-Single puts and deletes gather in a buffer that is a row list on the driver and
-is logged to a file first; bulk writes (``ingest``) are DataFrames and go
-straight to a run.  Reads are DataFrames over the live runs whose key bounds can
-matter, together with the buffer.
+A write is a DataFrame, written as one run and made visible by one commit.  Runs
+number their rows from 1; the commit gives them their place among the sequences,
+so writers that meet only commit again.  Readers see one manifest version.
+Compaction replaces runs and deletes nothing; ``vacuum`` deletes what no version
+in use needs.
 """
 
 from __future__ import annotations
 
-import json
-import os
-import shutil
-import struct
-import zlib
+import uuid
+from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kvlake.model import LOG, PUT
+from kvlake.model import LOG
 from kvlake.operators import mvcc, reads
 from kvlake.operators.batch import WriteBatch
 from kvlake.options import PARQUET_CODEC, AlreadyExists, Busy, Closed, NotFound, Options
 from kvlake.sources import manifest as man
 
-_HEAD = struct.Struct("<II")
+TRIES = 50
 
 
-class Snapshot:
-    """A stable view at one sequence.  Compaction keeps what it sees until it is
-    released."""
+class View:
+    """Reads of one manifest version."""
 
-    def __init__(self, store: KVStore, sequence: int):
-        self._store, self.sequence = store, sequence
+    def __init__(self, spark: SparkSession, path: str, manifest: man.Manifest):
+        self.spark, self.path, self.manifest = spark, path, manifest
 
-    def get(self, key: bytes) -> bytes | None:
-        return self._store.get(key, self.sequence)
+    def _rows(self, runs: list[man.Run]) -> DataFrame:
+        if not runs:
+            return self.spark.createDataFrame([], LOG)
+        rows = self.spark.read.schema(T.StructType([*LOG.fields, T.StructField("run", T.StringType())])).option("basePath", self.path).parquet(*[f"{self.path}/run={r.name}" for r in runs])
+        bases = [x for r in runs if r.base for x in (F.lit(r.name), F.lit(r.base).cast("long"))]
+        if bases:
+            rows = rows.withColumn("seq", F.col("seq") + F.coalesce(F.try_element_at(F.create_map(*bases), F.col("run")), F.lit(0)))
+        return rows.select(*LOG.names)
+
+    def log(self, low: bytes | None = None, high: bytes | None = None) -> DataFrame:
+        """All versions in runs that may hold keys of [low, high]."""
+        return self._rows([r for r in self.manifest.runs if r.overlaps(low, high)])
+
+    def get(self, key: bytes, max_seq: int | None = None) -> bytes | None:
+        row = reads.get(self.log(key, key), key, max_seq).first()
+        return None if row is None else bytes(row["value"])
+
+    def multi_get(self, keys: DataFrame, max_seq: int | None = None) -> DataFrame:
+        return reads.multi_get(self.log(), keys, max_seq)
+
+    def scan(self, start: bytes | None = None, end: bytes | None = None, max_seq: int | None = None) -> DataFrame:
+        return reads.scan(self.log(start, end), start, end, max_seq)
+
+    def state(self, max_seq: int | None = None) -> DataFrame:
+        return mvcc.visible(self.log(), max_seq)
+
+    def create_views(self, prefix: str = "kv") -> None:
+        """Temporary views <prefix>_log, <prefix>_current and <prefix>_runs, and the
+        table function <prefix>_at(s): the live rows at sequence s."""
+        self.log().createOrReplaceTempView(f"{prefix}_log")
+        self.state().createOrReplaceTempView(f"{prefix}_current")
+        self.manifest.to_frame(self.spark).createOrReplaceTempView(f"{prefix}_runs")
+        self.spark.sql(
+            f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}_at(s BIGINT) RETURNS TABLE (key BINARY, seq BIGINT, value BINARY) RETURN "
+            f"SELECT key, top.seq, top.value FROM (SELECT key, max(struct(seq, op, value)) AS top FROM {prefix}_log WHERE seq <= s GROUP BY key) WHERE top.op = 1"
+        )
+
+    def __len__(self) -> int:
+        return self.state().count()
+
+
+class Snapshot(View):
+    """A view whose runs are kept until it is released, in any process."""
 
-    def scan(self, start: bytes | None = None, end: bytes | None = None) -> DataFrame:
-        return self._store.scan(start, end, self.sequence)
+    def __init__(self, store: KVStore, manifest: man.Manifest):
+        super().__init__(store.spark, store.path, manifest)
+        self.sequence, self._folder = manifest.last_seq, store.folder
+        self._pin = f"pin-{manifest.version:08d}-{uuid.uuid4().hex}"
+        self._folder.create(self._pin, "")
 
     def release(self) -> None:
-        self._store._unpin(self.sequence)
+        self._folder.delete(self._pin)
 
     def __enter__(self) -> Snapshot:
         return self
@@ -52,28 +95,27 @@ class Snapshot:
 class KVStore:
     """Open with ``KVStore.open``; use as a context manager."""
 
-    def __init__(self, spark: SparkSession, path: str, options: Options):
-        self.spark, self.path, self.options = spark, path, options
-        self.manifest = man.load(path)
-        self.seq = self.manifest.last_seq
-        self._buffer: list[tuple[bytes, int, int, bytes | None]] = []
-        self._bytes = 0
-        self._pins: dict[int, int] = {}
+    def __init__(self, spark: SparkSession, folder: man.Folder, options: Options):
+        self.spark, self.folder, self.path, self.options = spark, folder, folder.path, options
         self._closed = False
-        self._log_path = os.path.join(path, "buffer.log")
-        self._recover()
-        self._log = open(self._log_path, "ab") if options.enable_wal else None
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, options: Options = Options()) -> KVStore:
         options.validate()
-        if os.path.isdir(path):
+        folder = man.Folder(spark, path)
+        if folder.exists():
             if options.error_if_exists:
                 raise AlreadyExists(path)
         elif not options.create_if_missing:
             raise NotFound(path)
-        os.makedirs(path, exist_ok=True)
-        return cls(spark, path, options)
+        folder.make()
+        return cls(spark, folder, options)
+
+    @property
+    def manifest(self) -> man.Manifest:
+        if self._closed:
+            raise Closed(self.path)
+        return man.load(self.folder)
 
     # --- writes ---
 
@@ -84,207 +126,165 @@ class KVStore:
         return self.write(WriteBatch().delete(key))
 
     def write(self, batch: WriteBatch) -> int:
-        """Apply a batch as one log record; returns the last sequence."""
-        self._open()
-        rows = [(k, self.seq + i, op, v) for i, (op, k, v) in enumerate(batch, 1)]
-        if not rows:
-            return self.seq
-        if self._log is not None:
-            body = json.dumps([[k.hex(), s, op, None if v is None else v.hex()] for k, s, op, v in rows]).encode()
-            self._log.write(_HEAD.pack(zlib.crc32(body), len(body)) + body)
-            self._log.flush()
-            if self.options.sync_wal:
-                os.fsync(self._log.fileno())
-        self._take(rows)
-        if self._bytes >= self.options.memtable_size:
-            self.flush()
-        return self.seq
-
-    def _take(self, rows) -> None:
-        self._buffer += rows
-        self._bytes += sum(len(k) + len(v or b"") + 16 for k, _, _, v in rows)
-        self.seq = max(self.seq, rows[-1][1])
-
-    def ingest(self, batch: DataFrame, level: int = 0) -> int:
-        """Write (pos, op, key, value) rows, numbered from 1, as one run.
-
-        Buffered writes are flushed first, so sequences stay in order."""
-        self.flush()
-        rows = batch.select("key", (F.col("pos") + self.seq).cast("long").alias("seq"), F.col("op").cast("byte").alias("op"), "value")
-        self._write_run(mvcc.newest(rows) if not self._pins else rows, level)
-        return self.seq
-
-    def _recover(self) -> None:
-        """Read the log's valid prefix; what was flushed already is skipped."""
-        if not os.path.exists(self._log_path):
-            return
-        with open(self._log_path, "rb") as f:
-            raw = f.read()
-        at = 0
-        while at + _HEAD.size <= len(raw):
-            crc, n = _HEAD.unpack_from(raw, at)
-            body = raw[at + _HEAD.size : at + _HEAD.size + n]
-            if len(body) < n or zlib.crc32(body) != crc:
-                break
-            rows = [(bytes.fromhex(k), s, op, None if v is None else bytes.fromhex(v)) for k, s, op, v in json.loads(body)]
-            rows = [r for r in rows if r[1] > self.manifest.last_seq]
-            if rows:
-                self._take(rows)
-            at += _HEAD.size + n
-        if at < len(raw):
-            with open(self._log_path, "r+b") as f:
-                f.truncate(at)
-
-    # --- flush and compaction ---
-
-    def flush(self) -> int | None:
-        """Write the buffer as a run of level 0; None if it is empty."""
-        self._open()
-        if not self._buffer:
-            return None
-        rows = self.spark.createDataFrame(self._buffer, LOG)
-        number = self._write_run(mvcc.retained(rows, list(self._pins), False), 0)
-        self._buffer, self._bytes = [], 0
-        if self._log is not None:
-            self._log.truncate(0)
-        self.maybe_compact()
-        return number
-
-    def _run_path(self, number: int) -> str:
-        return os.path.join(self.path, f"run={number:08d}")
-
-    def _write_run(self, rows: DataFrame, level: int, replaces: tuple[int, ...] = ()) -> int | None:
-        """Write a sorted run, then commit it in place of others.  Nothing is
-        visible before the commit, and a failed one leaves only an unused folder."""
-        number = self.manifest.next_run
-        path = self._run_path(number)
-        if os.path.isdir(path):
-            shutil.rmtree(path)  # left by a writer that failed before its commit
+        """Apply a batch as one run; returns the last sequence."""
+        return self.ingest(batch.to_frame(self.spark).withColumnRenamed("seq", "pos")) if len(batch) else self.manifest.last_seq
+
+    def ingest(self, batch: DataFrame) -> int:
+        """Write (pos, op, key, value) rows, numbered from 1, as one run; returns the last sequence."""
+        rows = batch.select("key", F.col("pos").cast("long").alias("seq"), F.col("op").cast("byte").alias("op"), "value")
+        run = self._write_run(rows, 0)
+        if run is None:
+            return self.manifest.last_seq
+
+        def place(m: man.Manifest) -> man.Manifest:
+            at = m.last_seq
+            return m.adding(replace(run, base=at, min_seq=run.min_seq + at, max_seq=run.max_seq + at))
+
+        done = self._commit(place)
+        self.compact_if_due()
+        return done.last_seq
+
+    def ingest_stream_batch(self, rows: DataFrame, stream: str, batch_id: int) -> bool:
+        """Write (key, seq, op, value) rows with sequences of their own, once for each
+        batch of a stream; False if the batch is in the store already."""
+        if self.manifest.batches.get(stream, -1) >= batch_id:
+            return False
+        run = self._write_run(rows.select("key", "seq", F.col("op").cast("byte").alias("op"), "value"), 0)
+
+        def place(m: man.Manifest) -> man.Manifest:
+            if m.batches.get(stream, -1) >= batch_id:
+                return m
+            m = replace(m, batches=m.batches | {stream: batch_id})
+            return m.adding(run) if run else m
+
+        self._commit(place)
+        return True
+
+    def _write_run(self, rows: DataFrame, level: int) -> man.Run | None:
+        """Write a sorted run under a new name; nothing sees it before its commit."""
+        name = uuid.uuid4().hex
+        path = f"{self.path}/run={name}"
         writer = rows.select(*LOG.names).repartitionByRange(F.col("key")).sortWithinPartitions("key", F.col("seq").desc()).write.option("compression", PARQUET_CODEC[self.options.compression])
         if self.options.use_bloom_filter:
             writer = writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.fpp#key", str(self.options.bloom_filter_fp_rate))
         writer.parquet(path)
         s = self.spark.read.schema(LOG).parquet(path).agg(F.count("*").alias("n"), F.min("seq").alias("a"), F.max("seq").alias("b"), F.min("key").alias("lo"), F.max("key").alias("hi")).first()
-        new = self.manifest.without(set(replaces))
-        if s["n"]:
-            size = sum(os.path.getsize(os.path.join(path, f)) for f in os.listdir(path))
-            new = new.adding(man.Run(number, level, s["n"], size, s["a"], s["b"], bytes(s["lo"]), bytes(s["hi"])))
-        else:
-            shutil.rmtree(path)
-        self.manifest = man.commit(self.path, new)
-        self.seq = max(self.seq, self.manifest.last_seq)
-        for r in replaces:
-            shutil.rmtree(self._run_path(r), ignore_errors=True)
-        return number if s["n"] else None
-
-    def pick(self) -> tuple[list[man.Run], int] | None:
-        """Runs to compact and their output level: level 0 by count, then the
-        lowest level over its target; with them, the output level's overlaps."""
-        zero = self.manifest.level(0)
-        chosen, level = [], 0
-        if len(zero) >= self.options.level0_compaction_threshold:
-            chosen = zero
-        else:
-            for n in range(1, self.options.max_levels - 1):
-                held = self.manifest.level(n)
-                if sum(r.size for r in held) > self.options.target_size(n):
-                    chosen, level = [min(held, key=lambda r: r.number)], n
-                    break
-        if not chosen:
+        if not s["n"]:
+            self.folder.delete(f"run={name}")
             return None
-        low, high = min(r.smallest_key for r in chosen), max(r.largest_key for r in chosen)
-        return chosen + [r for r in self.manifest.level(level + 1) if r.overlaps(low, high)], level + 1
-
-    def maybe_compact(self) -> bool:
-        picked = self.pick()
-        if picked is None:
+        return man.Run(name, level, 0, s["n"], s["a"], s["b"], bytes(s["lo"]), bytes(s["hi"]))
+
+    def _commit(self, change: Callable[[man.Manifest], man.Manifest]) -> man.Manifest:
+        """Commit a change of the newest manifest, again if another writer was first."""
+        for _ in range(TRIES):
+            now = self.manifest
+            new = change(now)
+            if new is now:
+                return now
+            try:
+                return man.commit(self.folder, new)
+            except Busy:
+                continue
+        raise Busy(f"{TRIES} commits were overtaken by other writers")
+
+    # --- compaction ---
+
+    def compact_if_due(self) -> bool:
+        """Merge the new runs, once they are many, with the old ones they overlap."""
+        m = self.manifest
+        fresh = [r for r in m.runs if r.level == 0]
+        if len(fresh) < self.options.level0_compaction_threshold:
             return False
-        self.compact(*picked)
-        return True
+        low, high = min(r.smallest_key for r in fresh), max(r.largest_key for r in fresh)
+        return self.compact(fresh + [r for r in m.runs if r.level and r.overlaps(low, high)])
+
+    def compact(self, runs: list[man.Run] | None = None, keep: tuple[int, ...] = ()) -> bool:
+        """Merge runs into one, with what is seen now and at the sequences ``keep``.
 
-    def compact(self, runs: list[man.Run] | None = None, level: int = 1) -> None:
-        """Merge runs into one of ``level``.  Tombstones go only if no run outside
-        the merge could still hold the key."""
-        runs = list(self.manifest.runs) if runs is None else runs
+        Tombstones go only if no other run could hold the key, and never where
+        streams bring rows with older sequences.  False if another writer has
+        replaced one of the runs meanwhile; its result stands."""
+        m = self.manifest
+        runs = list(m.runs) if runs is None else runs
         if not runs:
-            return
-        numbers = {r.number for r in runs}
+            return False
+        names = {r.name for r in runs}
         low, high = min(r.smallest_key for r in runs), max(r.largest_key for r in runs)
-        bottom = not any(r.overlaps(low, high) for r in self.manifest.runs if r.number not in numbers)
-        merged = self._read([r.number for r in runs])
-        self._write_run(mvcc.retained(merged, list(self._pins), bottom), level, tuple(sorted(numbers)))
+        alone = not m.batches and not any(r.overlaps(low, high) for r in m.runs if r.name not in names)
+        merged = View(self.spark, self.path, m)._rows(runs)
+        run = self._write_run(mvcc.retained(merged, list(keep), alone), 1)
+
+        def place(now: man.Manifest) -> man.Manifest:
+            if not names <= {r.name for r in now.runs}:
+                return now
+            kept = now.without(names)
+            return kept.adding(run) if run else kept
+
+        done = self._commit(place)
+        return not names & {r.name for r in done.runs}
+
+    def vacuum(self) -> list[str]:
+        """Delete runs that only older versions need which no snapshot holds, and
+        those versions; returns the runs' names.  Reads of an older version that
+        are still to be run need a snapshot."""
+        now = self.manifest
+        pinned = {int(n.split("-")[1]) for n in self.folder.names() if n.startswith("pin-")} | {now.version}
+        old = [v for v in man.versions(self.folder) if v < now.version]
+        known = {v: {r.name for r in man.load(self.folder, v).runs} for v in [*old, now.version] if v}
+        used = set().union(*(known.get(v, set()) for v in pinned))
+        gone = sorted(set().union(*(known[v] for v in old)) - used)
+        for name in gone:
+            self.folder.delete(f"run={name}")
+        for v in old:
+            if v not in pinned:
+                self.folder.delete(man.VERSION.format(v))
+        return gone
 
     # --- reads ---
 
-    def _read(self, numbers: list[int]) -> DataFrame:
-        return self.spark.read.schema(LOG).parquet(*[self._run_path(n) for n in numbers]) if numbers else self.spark.createDataFrame([], LOG)
+    def view(self) -> View:
+        return View(self.spark, self.path, self.manifest)
 
     def log(self, low: bytes | None = None, high: bytes | None = None) -> DataFrame:
-        """All versions in runs that may hold keys of [low, high], and the buffer."""
-        self._open()
-        rows = self._read([r.number for r in self.manifest.runs if r.overlaps(low, high)])
-        return rows.unionByName(self.spark.createDataFrame(self._buffer, LOG)) if self._buffer else rows
+        return self.view().log(low, high)
 
     def get(self, key: bytes, max_seq: int | None = None) -> bytes | None:
-        row = reads.get(self.log(key, key), key, max_seq).first()
-        return None if row is None else bytes(row["value"])
+        return self.view().get(key, max_seq)
 
     def multi_get(self, keys: DataFrame, max_seq: int | None = None) -> DataFrame:
-        return reads.multi_get(self.log(), keys, max_seq)
+        return self.view().multi_get(keys, max_seq)
 
     def scan(self, start: bytes | None = None, end: bytes | None = None, max_seq: int | None = None) -> DataFrame:
-        return reads.scan(self.log(start, end), start, end, max_seq)
+        return self.view().scan(start, end, max_seq)
 
     def state(self, max_seq: int | None = None) -> DataFrame:
-        return mvcc.visible(self.log(), max_seq)
-
-    def snapshot(self) -> Snapshot:
-        self._open()
-        self._pins[self.seq] = self._pins.get(self.seq, 0) + 1
-        return Snapshot(self, self.seq)
-
-    def _unpin(self, seq: int) -> None:
-        left = self._pins.get(seq, 0) - 1
-        if left > 0:
-            self._pins[seq] = left
-        else:
-            self._pins.pop(seq, None)
+        return self.view().state(max_seq)
 
     def create_views(self, prefix: str = "kv") -> None:
-        """Temporary views <prefix>_log, <prefix>_current and <prefix>_files."""
-        self.log().createOrReplaceTempView(f"{prefix}_log")
-        self.state().createOrReplaceTempView(f"{prefix}_current")
-        self.manifest.to_frame(self.spark).createOrReplaceTempView(f"{prefix}_files")
-
-    def __len__(self) -> int:
-        return self.state().count()
+        self.view().create_views(prefix)
 
-    # --- end ---
+    def snapshot(self) -> Snapshot:
+        while True:
+            m = self.manifest
+            snap = Snapshot(self, m)
+            if not m.version or m.version in man.versions(self.folder):
+                return snap
+            snap.release()  # it was vacuumed meanwhile
 
-    def _open(self) -> None:
-        if self._closed:
-            raise Closed(self.path)
+    def __len__(self) -> int:
+        return len(self.view())
 
     def close(self) -> None:
-        if self._closed:
-            return
-        if self._pins:
-            raise Busy("snapshots are open")
-        self.flush()
-        if self._log is not None:
-            self._log.close()
         self._closed = True
 
     def __enter__(self) -> KVStore:
         return self
 
     def __exit__(self, *exc) -> None:
-        self._pins.clear()
         self.close()
 
 
 def iterate(rows: DataFrame):
-    """Rows of a scan in order, fetched a partition at a time."""
+    """Live rows of a scan in order, fetched a partition at a time."""
     for r in rows.toLocalIterator():
-        if r["op"] == PUT:
-            yield bytes(r["key"]), bytes(r["value"])
+        yield bytes(r["key"]), bytes(r["value"])

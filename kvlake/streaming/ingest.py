@@ -5,9 +5,6 @@ The sequence decides which version wins, so late rows do no harm.
 
 from __future__ import annotations
 
-import json
-import os
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -24,24 +21,11 @@ def latest(stream: DataFrame) -> DataFrame:
     return top.select("key", "_top.seq", *[f"_top.{c}" for c in rest])
 
 
-def to_store(stream: DataFrame, store: KVStore, checkpoint: str) -> DataStreamWriter:
+def to_store(stream: DataFrame, store: KVStore, checkpoint: str, name: str | None = None) -> DataStreamWriter:
     """Write each micro-batch of (key, seq, op, value) as one run.
 
-    The numbers of batches done are kept beside the runs: a batch that is
-    replayed after a failure is not written twice.
+    The commit that shows a run also notes its batch, so a batch that is replayed
+    after a failure is not written twice.  Batches are told apart by ``name``,
+    the checkpoint's path by default: a new checkpoint is a new stream.
     """
-    done_path = os.path.join(store.path, "stream-batches.json")
-
-    def write(rows: DataFrame, batch_id: int) -> None:
-        done = -1
-        if os.path.exists(done_path):
-            with open(done_path) as f:
-                done = json.load(f)
-        if batch_id <= done:
-            return
-        store._write_run(rows.select("key", "seq", F.col("op").cast("byte").alias("op"), "value"), 0)
-        with open(done_path + ".tmp", "w") as f:
-            json.dump(batch_id, f)
-        os.replace(done_path + ".tmp", done_path)
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return stream.writeStream.foreachBatch(lambda rows, batch_id: store.ingest_stream_batch(rows, name or checkpoint, batch_id)).option("checkpointLocation", checkpoint)
