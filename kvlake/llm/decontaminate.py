@@ -168,6 +168,7 @@ def _join(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+@B.tidied
 def _match(batches, sent, text_at, schema):
     """Adds, to each row, its word count, hit words, items and byte spans."""
     automaton: Automaton = sent.value
@@ -259,6 +260,7 @@ def find_contamination(
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 100 >= F.col("n_words") * percent))
 
 
+@B.tidied
 def _cut(batches, text_at, span_at):
     for batch in batches:
         texts, spans = batch.column(text_at).to_pylist(), batch.column(span_at)

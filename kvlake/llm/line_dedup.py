@@ -63,6 +63,7 @@ def _keys(data, offs, min_chars):
     return row, start, end, B.span_hash(B.prefix_hash(data, B.VALUES_LOWER), start, end)
 
 
+@B.tidied
 def _sliced_hashes(batches, slices, min_chars):
     shift = np.uint64(64 - slices.bit_length() + 1)
     for batch in batches:
@@ -151,6 +152,7 @@ def _filters(sent):
     return {k: Filter(np.frombuffer(v, np.uint8)) for k, v in sent.value.items()}
 
 
+@B.tidied
 def _flag(batches, sent, id_at, text_at, slices, min_chars, schema):
     """Rows with whether they may lose lines."""
     filters = _filters(sent)
@@ -162,6 +164,7 @@ def _flag(batches, sent, id_at, text_at, slices, min_chars, schema):
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(may)], names=schema)
 
 
+@B.tidied
 def _suspects(batches, sent, slices, min_chars):
     filters = _filters(sent)
     for batch in batches:
@@ -179,6 +182,7 @@ def _suspects(batches, sent, slices, min_chars):
         yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), taken.cast(pa.int64())], names=["digest", "doc"])
 
 
+@B.tidied
 def _rewrite(batches, id_at, text_at, drop_at, schema, min_chars):
     """Rows less the lines to drop; bytes.lower() touches A-Z only."""
     for batch in batches:

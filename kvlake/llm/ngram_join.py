@@ -96,6 +96,7 @@ def shingle_hashes(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarr
     return out[new], np.searchsorted(row[new], np.arange(len(offs)))
 
 
+@B.tidied
 def _sets(batches, k, text_at):
     """(id, digest of the set, size, short form, sketch) of each row.
 
@@ -117,6 +118,7 @@ def _sets(batches, k, text_at):
         yield pa.RecordBatch.from_arrays(cols, names=["id", "digest", "n", "short", *BITS])
 
 
+@B.tidied
 def _common_tokens(batches, k, share, least):
     """Tokens in more than ``share`` of a batch's rows (and in ``least`` at least), with counts."""
     for batch in (part for whole in batches for part in B.pieces(whole, 1)):
@@ -183,6 +185,7 @@ def prefix_signatures(h: np.ndarray, at: np.ndarray, frequent: np.ndarray, perce
     return np.concatenate(sigs), np.concatenate(rows)
 
 
+@B.tidied
 def _postings(batches, k, frequent, percent, slices):
     """Signatures in slices, one posting per batch and signature; the batch's
     other postings are chained to that one as ready (signature, id) rows."""
@@ -274,6 +277,7 @@ def lengthen(short: bytes | pa.Buffer) -> tuple[np.ndarray, int]:
     return np.cumsum(d, dtype=np.int64)[d != 255], _short_bits(n)
 
 
+@B.tidied
 def _packed_sets(batches, k):
     """(id, tokens as bytes) of each row."""
     for batch in batches:
@@ -310,6 +314,7 @@ def may_be_linked(a: tuple[np.ndarray, int], b: tuple[np.ndarray, int], percent:
     return min(_inside(x, y), _inside(y, x)) * (100 + percent) >= percent * (len(x) + len(y))
 
 
+@B.tidied
 def _verify(batches, unpack, test, percent):
     """Pairs that pass the test; the pivot's set is unpacked once for a run of pairs."""
     for batch in batches:

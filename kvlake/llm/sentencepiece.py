@@ -7,8 +7,8 @@ scores; of BPE models the merges are rebuilt from the piece scores.
 
 Where no piece has the marker after another character, a text can be cut before
 each run of markers without changing its pieces.  A batch's distinct cuts are
-then encoded once, in one multithreaded ``encode_batch``, and looked up.  What a
-worker remembers of cuts is bounded in bytes.
+then encoded once, some in a row, in one multithreaded ``encode_batch``, and looked up.  What a
+task remembers of cuts is bounded in bytes.
 
 Only normal pieces are found in texts.  Control, unknown, unused and byte pieces
 that a text spells out are spelt with other pieces, as the library does;
@@ -185,12 +185,15 @@ class Tokenizer:
         self.is_byte = np.isin(np.arange(len(m.pieces)), list(self.bytes))
         self.user = {p: i for i, (p, _, kind) in enumerate(m.pieces) if kind == USER_DEFINED}
         self.user_cut = re.compile("(" + "|".join(map(re.escape, sorted(self.user, key=len, reverse=True))) + ")") if self.user else None
+        #: whether each cut's pieces spell it, and nothing but the cut
+        self.joins = self.model.byte_fallback and self.model.escape_whitespaces and not self.user
         #: what each piece stands for
         self.spelt = [bytes([self.bytes[i]]) if i in self.bytes else b"" if i in self.hidden else p.encode() for i, (p, _, _) in enumerate(m.pieces)]
         self.spelt[m.unknown] = m.unknown_text.encode()
         self.spelt_data = np.frombuffer(b"".join(self.spelt), np.uint8)
         self.spelt_at = np.r_[0, np.cumsum([*map(len, self.spelt)])]
         self.cuts = not any(p[i] == MARK and p[i - 1] != MARK for p, _, kind in m.pieces if kind == NORMAL for i in range(1, len(p)))
+        self.joins = self.joins and self.cuts and len(self.bytes) == 256
 
     def normalize(self, text: str) -> str:
         if self.normalizer:
@@ -248,6 +251,17 @@ class Tokenizer:
     def bytes_of(self, ids: list[int]) -> bytes:
         return b"".join(map(self.spelt.__getitem__, ids))
 
+    def sized(self, cuts: list[str], ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray] | None:
+        """(pieces of each cut, all ids) of cuts encoded in a row; None if a piece
+        does not end where its cut does."""
+        flat = _flat(ids)[1]
+        upto = np.cumsum(self.spelt_at[flat + 1] - self.spelt_at[flat])
+        want = np.cumsum(np.fromiter(map(len, map(str.encode, cuts)), np.int64, len(cuts)))
+        last = np.searchsorted(upto, want)
+        if len(cuts) and (last[-1] != len(upto) - 1 or (upto[last] != want).any()):
+            return None
+        return np.diff(np.r_[-1, last]), flat
+
     def flat_bytes(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[bytes, np.ndarray]:
         """What all ids stand for, one after the other, and where each range of them lies."""
         sizes = self.spelt_at[ids + 1] - self.spelt_at[ids]
@@ -262,12 +276,15 @@ class Tokenizer:
 
 
 class _Known:
-    """What a worker knows of the cuts it has met: for each, the ids, how many are
+    """What a task knows of the cuts it has met: for each, the ids, how many are
     byte pieces and whether the library agrees.  Ids lie in one array, so that a
     cut costs a string and a few numbers."""
 
     def __init__(self, tok: Tokenizer, library, most: int):
         self.tok, self.library, self.most = tok, library, most
+        self.clear()
+
+    def clear(self) -> None:
         self.codes: dict[str, int] = {}
         self.ids, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
         self.n_bytes, self.same = np.zeros(0, np.int64), np.zeros(0, bool)
@@ -281,21 +298,31 @@ class _Known:
 
     def _add(self, new: list[str]) -> None:
         tok = self.tok
-        ids = tok.encode_many(new)
-        theirs = _theirs(new, ids, self.library.encode(_unmarked(new, tok), num_threads=1), tok)
-        sizes, flat = _flat(ids)
-        their_sizes, their_flat = _flat(theirs)
-        same = sizes == their_sizes
-        their_flat = their_flat[np.repeat(same, their_sizes)]
-        differ = np.r_[0, np.cumsum(flat[np.repeat(same, sizes)] != their_flat)]
-        upto = np.cumsum(np.where(same, sizes, 0))
-        same &= differ[upto] == differ[upto - np.where(same, sizes, 0)]
-        of_bytes = np.r_[0, np.cumsum(tok.is_byte[flat])]
-        ends = np.cumsum(sizes)
-        self.codes.update(zip(new, range(len(self.codes), len(self.codes) + len(new))))
-        self.n_bytes = np.r_[self.n_bytes, of_bytes[ends] - of_bytes[ends - sizes]]
-        self.same = np.r_[self.same, same]
-        self.ids, self.at = np.r_[self.ids, flat], np.r_[self.at, self.at[-1] + ends]
+        parts = []
+        if tok.joins:  # no piece spans what lies between these, so they may be encoded in a row
+            row = [c for c in new if c[0] == MARK and c[-1] != MARK]
+            texts = ["".join(row[k : k + JOIN]) for k in range(0, len(row), JOIN)]
+            ours = tok.sized(row, tok.encode_many(texts))
+            theirs = tok.sized(row, self.library.encode(_unmarked(texts, tok), num_threads=1))
+            if ours is not None and theirs is not None:
+                parts.append((row, ours, theirs))
+                new = [c for c in new if c[0] != MARK or c[-1] == MARK]
+        if new:
+            ids = tok.encode_many(new)
+            theirs = _theirs(new, ids, self.library.encode(_unmarked(new, tok), num_threads=1), tok)
+            parts.append((new, _flat(ids), _flat(theirs)))
+        for cuts, (sizes, flat), (their_sizes, their_flat) in parts:
+            same = sizes == their_sizes
+            their_flat = their_flat[np.repeat(same, their_sizes)]
+            differ = np.r_[0, np.cumsum(flat[np.repeat(same, sizes)] != their_flat)]
+            upto = np.cumsum(np.where(same, sizes, 0))
+            same &= differ[upto] == differ[upto - np.where(same, sizes, 0)]
+            of_bytes = np.r_[0, np.cumsum(tok.is_byte[flat])]
+            ends = np.cumsum(sizes)
+            self.codes.update(zip(cuts, range(len(self.codes), len(self.codes) + len(cuts))))
+            self.n_bytes = np.r_[self.n_bytes, of_bytes[ends] - of_bytes[ends - sizes]]
+            self.same = np.r_[self.same, same]
+            self.ids, self.at = np.r_[self.ids, flat], np.r_[self.at, self.at[-1] + ends]
 
     def forget(self, code: np.ndarray) -> None:
         """Beyond ``most`` bytes, keep only cuts that this batch met more than once."""
@@ -325,15 +352,25 @@ def _loaded(raw: bytes) -> tuple[Tokenizer, _Known]:
     return _LOADED[key]
 
 
-#: Bytes of cuts that a worker remembers from batch to batch, and what one takes
+#: Bytes of cuts that a task remembers from batch to batch, and what one takes
 #: besides its ids.  Results do not depend on either.
-KNOWN_BYTES, ENTRY_BYTES = 40 << 20, 210
+KNOWN_BYTES, ENTRY_BYTES = 32 << 20, 210
 BATCH_BYTES = 1 << 20
+JOIN = 32  # cuts encoded in a row
 
 
+@B.tidied
 def _encode(batches, sent, text_at, schema, decode):
     os.environ["TOKENIZERS_PARALLELISM"] = "true"
     tok, known = _loaded(sent.value)
+    known.clear()  # of what an earlier task met
+    try:
+        yield from _encoded(batches, tok, known, text_at, schema, decode)
+    finally:
+        known.clear()
+
+
+def _encoded(batches, tok, known, text_at, schema, decode):
     for batch in (part for whole in batches for part in B.pieces(whole, text_at, BATCH_BYTES)):
         texts = [t or "" for t in batch.column(text_at).to_pylist()]
         marked = list(map(tok.marked, texts))
@@ -370,7 +407,7 @@ def _unmarked(cuts: list[str], tok: Tokenizer) -> list[str]:
     library adds the first marker itself."""
     drop = int(tok.model.add_dummy_prefix)
     before = next(iter(tok.user), "")  # what follows a user-defined piece has no marker
-    return [c.replace(MARK, " ")[drop:] if c.startswith(MARK) or not drop or c in tok.user else before + c for c in cuts]
+    return [c.replace(MARK, " ")[drop:] if c.startswith(MARK) or not drop else c if c in tok.user else before + c for c in cuts]
 
 
 def _theirs(cuts: list[str], ids: list[list[int]], found: list[list[int]], tok: Tokenizer) -> list[list[int]]:
@@ -404,6 +441,7 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", decode: bool =
     return docs.mapInArrow(partial(_encode, sent=sent, text_at=names.index(text_col.lower()), schema=schema.names, decode=decode), schema)
 
 
+@B.tidied
 def decode_column(batches, sent, ids_at, schema):
     tok, _ = _loaded(sent.value)
     for batch in batches:

@@ -94,6 +94,7 @@ def _digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> bytes:
 POSTING = (_U, _U, _U, np.int64, np.int64)  # anchor, digest, id, key of the text
 
 
+@B.tidied
 def _postings(batches, width, gram, slices):
     """Anchors and contexts in slices, one posting for each different context of a
     batch; contexts that repeat within the batch are also told so at once."""
@@ -153,6 +154,7 @@ def _judge(key, table, hot):
     return pa.table({k: pa.array(v) for k, v in cols.items()})
 
 
+@B.tidied
 def _look_up(batches, width, gram):
     """Spans that repeat whole (h null), and contexts to compare."""
     for batch in batches:
@@ -323,6 +325,7 @@ def _compare_block(rows: list[tuple], width: int, gram: int):
     return out
 
 
+@B.tidied
 def _compare(batches, width, gram, block):
     """Streams contexts sorted by anchor, sorting about ``block`` bytes of them at once."""
 
@@ -343,6 +346,7 @@ def _compare(batches, width, gram, block):
         yield emit(found)
 
 
+@B.tidied
 def _windows(batches, width):
     """A row for each window of hot contexts: two halves of its digest and its place."""
     for whole in batches:
@@ -358,6 +362,7 @@ def _windows(batches, width):
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=["w1", "w2", "id", "tkey", "start"])
 
 
+@B.tidied
 def _finish(batches):
     for batch in batches:
         texts, lists = batch.column("text").to_pylist(), batch.column("lists")

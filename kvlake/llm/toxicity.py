@@ -288,6 +288,7 @@ def fit(
     return fit_curve(fit_chain(cases, odds, {r["word"] for r in best}), cases, weights)
 
 
+@B.tidied
 def _score(batches, sent, text_at, schema):
     model: Model = sent.value
 
