@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvlake.llm.common import store
+from kvlake.llm.common import discard, store
 
 
 def _star(edges: DataFrame) -> DataFrame:
@@ -33,7 +33,8 @@ def connected_components(labels: DataFrame, links: DataFrame) -> DataFrame:
     edges = store(ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     mark = _mark(edges)
     while mark["n"]:
-        edges = store(_star(edges))
+        last, edges = edges, store(_star(edges))
+        discard(last)
         last, mark = mark, _mark(edges)
         if mark == last:
             break

@@ -53,7 +53,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kvlake.llm import bytesops as B
-from kvlake.llm.common import bound_batches, parts_for, store
+from kvlake.llm.common import bound_batches, discard, parts_for, store
 from kvlake.llm.components import connected_components
 
 WORDS = 5
@@ -98,24 +98,23 @@ def shingle_hashes(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarr
 
 @B.tidied
 def _sets(batches, k, text_at):
-    """(id, digest of the set, size, short form, sketch) of each row.
+    """(id, digest of the set, size, sketch) of each row.
 
     The sketch sets one of 1024 bits for each token.  Bits that one set has and
     the other lacks are tokens it does not share: a bound without false negatives."""
     for batch in batches:
-        sizes, digests, shorts, sketches = [], [], [], []
+        sizes, digests, sketches = [], [], []
         for lo, hi, data, offs in B.chunks(batch.column(text_at)):
             h, at = shingle_hashes(data, offs, k)
             sizes.append(np.diff(at))
             digests += [hashlib.blake2b(h[a:b], digest_size=16).digest() for a, b in zip(at[:-1], at[1:])]
-            shorts += [shorten(h[a:b]) for a, b in zip(at[:-1], at[1:])]
             bits = np.zeros((hi - lo, SKETCH * 64), np.uint8)
             bits[np.repeat(np.arange(hi - lo), np.diff(at)), (h >> _U(20)).astype(np.int64) % (SKETCH * 64)] = 1
             sketches.append(np.packbits(bits, axis=1).view(np.int64))
         n = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
         s = np.concatenate(sketches) if sketches else np.zeros((0, SKETCH), np.int64)
-        cols = [batch.column(0), pa.array(digests, pa.binary()), pa.array(n, pa.int64()), pa.array(shorts, pa.binary()), *[pa.array(np.ascontiguousarray(s[:, i])) for i in range(SKETCH)]]
-        yield pa.RecordBatch.from_arrays(cols, names=["id", "digest", "n", "short", *BITS])
+        cols = [batch.column(0), pa.array(digests, pa.binary()), pa.array(n, pa.int64()), *[pa.array(np.ascontiguousarray(s[:, i])) for i in range(SKETCH)]]
+        yield pa.RecordBatch.from_arrays(cols, names=["id", "digest", "n", *BITS])
 
 
 @B.tidied
@@ -279,13 +278,14 @@ def lengthen(short: bytes | pa.Buffer) -> tuple[np.ndarray, int]:
 
 @B.tidied
 def _packed_sets(batches, k):
-    """(id, tokens as bytes) of each row."""
+    """(id, tokens as bytes, their short form) of each row."""
     for batch in batches:
-        blobs = []
+        blobs, shorts = [], []
         for _, _, data, offs in B.chunks(batch.column(1)):
             h, at = shingle_hashes(data, offs, k)
             blobs += [h[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], names=["id", "tokens"])
+            shorts += [shorten(h[a:b]) for a, b in zip(at[:-1], at[1:])]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary()), pa.array(shorts, pa.binary())], names=["id", "tokens", "short"])
 
 
 def _unpack(tokens: pa.Buffer) -> np.ndarray:
@@ -392,13 +392,26 @@ def _relabel(open_: DataFrame, label: DataFrame) -> DataFrame:
     return rows.join(several, "sig", "left_semi").select(*columns, before.alias("before"))
 
 
+def _next(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``new``, stored in place of the table it is made of."""
+    out = store(new)
+    discard(old)
+    return out
+
+
+def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    out = _next(label, connected_components(label, links))
+    discard(links)
+    return out
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT, max_frequent: int = MAX_FREQUENT, share: float = FREQUENT_SHARE, least: int = 8) -> DataFrame:
     """A row per row of ``docs``: the id, n_shingles and component_id (the
     smallest id reachable by links)."""
     spark = docs.sparkSession
     bound_batches(spark)
     narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    sets = store(narrow.mapInArrow(partial(_sets, k=k, text_at=1), "id long, digest binary, n long, short binary, " + ", ".join(f"{s} long" for s in BITS)))
+    sets = store(narrow.mapInArrow(partial(_sets, k=k, text_at=1), "id long, digest binary, n long, " + ", ".join(f"{s} long" for s in BITS)))
     # a set's sketch; ids with several sets have none
     one = F.min("digest") == F.max("digest")
     sketches = sets.where("id is not null and n > 0").groupBy("id").agg(*[F.when(one, F.max(c)).alias(c) for c in ("n", *BITS)])
@@ -415,13 +428,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         asked = sketches.join(_ends(pairs), "id", "left_semi")
         m, p = asked.alias("m"), asked.alias("p")
         both = pairs.join(m, F.col("member") == F.col("m.id")).join(p, (F.col("pivot") == F.col("p.id")) & _sketch_allows("p", "m", percent))
-        pairs = store(both.select("pivot", "member"))
-        shorts = sets.where("id is not null").select("id", "short").join(_ends(pairs), "id", "left_semi")
-        pairs = store(_checked(pairs, shorts, "short", lengthen, may_be_linked, percent))
-        if pairs.isEmpty():
-            return pairs
-        tokens = store(known.join(_ends(pairs), "id", "left_semi").mapInArrow(partial(_packed_sets, k=k), "id long, tokens binary"))
-        return store(_checked(pairs, tokens, "tokens", _unpack, linked, percent))
+        left = store(both.select("pivot", "member"))
+        sets = store(known.join(_ends(left), "id", "left_semi").mapInArrow(partial(_packed_sets, k=k), "id long, tokens binary, short binary"))
+        close = store(_checked(left, sets, "short", lengthen, may_be_linked, percent))
+        # most sets are in no pair by now
+        done = store(_checked(close, sets.join(_ends(close), "id", "left_semi"), "tokens", _unpack, linked, percent))
+        discard(left, sets, close)
+        return done
 
     slices = parts_for(docs)
     blocks = known.mapInArrow(partial(_postings, k=k, frequent=frequent, percent=percent, slices=slices), "slice long, blob binary")
@@ -439,20 +452,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     label = store(postings.select("id").distinct().withColumn("component", F.col("id")))
     bounds = label.join(reps, "id").join(rare, "id", "left").join(rows, "id", "left").join(shared, "id", "left").select("id", "component", "lo", "hi", most.alias("most"))
     open_ = store(postings.join(bounds, "id"))
+    discard(matched, postings, reps)
     # first, each set against the one pivot with which it shares most signatures
     pairs, _ = _candidates(open_, 1, percent)
     shared = pairs.groupBy("pivot", "member").agg(F.count("*").alias("n"))
     best = store(shared.groupBy("member").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("pivot")))
-    done = checked(best)
-    label = store(connected_components(label, done))
-    open_, pivots = store(_relabel(open_, label)), 16
+    label = _joined(label, checked(best))
+    open_, pivots = _next(open_, _relabel(open_, label)), 16
     while not open_.isEmpty():
         if pivots > 16 and "s0" not in open_.columns:  # the signatures left have many sets each
-            open_ = store(open_.join(sketches, "id"))
+            open_ = _next(open_, open_.join(sketches, "id"))
         pairs, heads = _candidates(open_, pivots, percent)
-        label = store(connected_components(label, checked(store(pairs.distinct()))))
+        pairs = store(pairs.distinct())
+        label = _joined(label, checked(pairs))
         # these pivots have met all others of their signatures
-        open_ = store(_relabel(open_.join(heads, ["sig", "id"], "left_anti"), label))
+        open_ = _next(open_, _relabel(open_.join(heads, ["sig", "id"], "left_anti"), label))
+        discard(pairs)
         pivots *= 16
     found = classes.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = sets.select("id", "digest", "n").join(found, "digest", "left")
