@@ -95,29 +95,37 @@ def _bits(h: np.ndarray, size: int) -> np.ndarray:
 
 
 class Filter:
-    """A Bloom filter over 64-bit hashes, eight bits a byte."""
+    """A Bloom filter over 64-bit hashes, as it is built: a byte a bit."""
 
-    def __init__(self, packed: np.ndarray):
-        self.packed = packed
-
-    @classmethod
-    def empty(cls, expected: int, most: int):
+    def __init__(self, expected: int, most: int):
         size = 1 << max(6, (12 * max(expected, 1) - 1).bit_length())
-        return cls(np.zeros(min(size, most) // 8, np.uint8))
+        self.bits = np.zeros(min(size, most), bool)
 
     def add(self, h):
-        at = _bits(h, 8 * len(self.packed)).ravel()
-        np.bitwise_or.at(self.packed, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        self.bits[_bits(h, len(self.bits)).ravel()] = True
+
+    def has(self, h):
+        return self.bits[_bits(h, len(self.bits))].all(axis=0)
+
+    def packed(self) -> bytes:
+        return np.packbits(self.bits, bitorder="little").tobytes()
+
+
+class Packed:
+    """A filter as it is sent: eight bits a byte."""
+
+    def __init__(self, raw: bytes):
+        self.bits = np.frombuffer(raw, np.uint8)
 
     def has(self, h):
-        at = _bits(h, 8 * len(self.packed))
-        return ((self.packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=0)
+        at = _bits(h, 8 * len(self.bits))
+        return ((self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=0)
 
 
 def _twice_filter(key, table: pa.Table, most):
     """Both filters of one slice; returns the twice-seen one."""
     blobs = [np.frombuffer(b.as_py(), np.uint64) for b in table.column("hashes")]
-    once = Filter.empty(sum(map(len, blobs)), 1 << 40)
+    once = Filter(sum(map(len, blobs)), 1 << 40)
     again = []
     for h in blobs:
         h, n = np.unique(h, return_counts=True)
@@ -127,9 +135,9 @@ def _twice_filter(key, table: pa.Table, most):
     again = np.unique(np.concatenate(again))
     if not len(again):
         return pa.table({"slice": pa.array([], pa.int32()), "bits": pa.array([], pa.binary())})
-    twice = Filter.empty(len(again), most)
+    twice = Filter(len(again), most)
     twice.add(again)
-    return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([twice.packed.tobytes()], pa.binary())})
+    return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([twice.packed()], pa.binary())})
 
 
 def _suspected(column, filters, slices, min_chars):
@@ -149,7 +157,7 @@ def _suspected(column, filters, slices, min_chars):
 
 
 def _filters(sent):
-    return {k: Filter(np.frombuffer(v, np.uint8)) for k, v in sent.value.items()}
+    return {k: Packed(v) for k, v in sent.value.items()}
 
 
 @B.tidied
