@@ -7,25 +7,35 @@ range.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PART = "_part"
 
 
+def _folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; on one machine (tests), a temporary folder where it is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kvlake-"))
+        found = spark.sparkContext.getCheckpointDir()
+    return found
+
+
 def pinned(df: DataFrame) -> DataFrame:
-    """``df`` computed once for all its users: in the folder of
-    spark.checkpoint.dir where that is set, else kept on disk by the session.
+    """``df`` written once, as Parquet in the shared folder, for all its users.
 
     Ranges are cut from samples, so two uses of an unpinned frame could be dealt
     differently."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None):
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-        return df.checkpoint()
-    return df.persist(StorageLevel.DISK_ONLY)
+    path = f"{_folder(df.sparkSession)}/kvlake-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def deal(rows: DataFrame, *by: str) -> DataFrame:
